@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, linededup, packing, sharding, tokens, toxicity
+from . import common, linededup, lm, packing, sharding, tokens, toxicity
 
 SHARDS = 24
 MIN_LINE_DOCS, MIN_LINE_CHARS = 10, 1
@@ -37,6 +37,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.read(spark, sf_dir, "documents"), SHARDS)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_rows(spark, common.read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_rows(spark, common.read(spark, sf_dir, "documents"), MIN_LINE_DOCS, MIN_LINE_CHARS)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
