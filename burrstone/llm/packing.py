@@ -27,7 +27,7 @@ from . import common
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Characters that Python's split takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Marks at a word's end that are a pre-token of their own whatever stands before them.
