@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, linededup, lm, packing, sharding, tokens, toxicity
+from . import common, decontamination, linededup, lm, neardup, packing, sharding, tokens, toxicity
 
 SHARDS = 24
 MIN_LINE_DOCS, MIN_LINE_CHARS = 10, 1
@@ -33,6 +33,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, common.read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.read(spark, sf_dir, "documents"), SHARDS)
 
@@ -45,6 +49,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_rows(spark, common.read(spark, sf_dir, "documents"), MIN_LINE_DOCS, MIN_LINE_CHARS)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(spark, docs, items).drop("row_key")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return toxicity.score_rows(docs, toxicity.fit(docs, common.read(spark, sf_dir, "labels")))
@@ -53,9 +62,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_packing": op2_packing,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_sharding": op5_sharding,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
