@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, linededup, lm, neardup, packing, sharding, tokens, toxicity
+from . import ann, common, decontamination, linededup, lm, neardup, packing, sharding, tokens, toxicity
 
 SHARDS = 24
 MIN_LINE_DOCS, MIN_LINE_CHARS = 10, 1
@@ -37,6 +37,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, common.read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, common.read(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.read(spark, sf_dir, "documents"), SHARDS)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_packing": op2_packing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_sharding": op5_sharding,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
