@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +52,26 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def words(text: str) -> list[str]:
-    """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased."""
-    text = text.translate(LOWER) if not text.isascii() else text.lower()
-    if any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") or not text.isascii():
-        import re
+def words(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, in UTF-8: bytes know no other white space or capitals."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-        return re.findall(r"[^\x20\x09-\x0D]+", text)
-    return text.split()
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; at() empties a full memory first."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def at(self, ws: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

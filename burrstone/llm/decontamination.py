@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,22 +38,12 @@ MATCH, MISMATCH, GAP, BAR = 2, -1, -1, 0.45
 BLOCK_GRAMS = 400_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
+_MARKS = b".,;:!?\"'()[]{}|*#%$&"
 
 
-def _hashes(ws: list[str], known: dict[str, int]) -> np.ndarray:
-    missing = set(ws).difference(known)
-    if missing:
-        if len(known) > REMEMBERED:
-            known.clear()
-            missing = set(ws)
-        for w in missing:
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-
-
-def words(text: str | None) -> list[str]:
-    """Words for alignment: white-space words without the marks around them."""
-    return [w for w in (x.strip(".,;:!?\"'()[]{}|*#%$&") for x in common.words(text or "")) if w]
+def words(text: str | None) -> list[bytes]:
+    """Words for alignment: white-space words without the ASCII marks around them."""
+    return [w for w in (x.strip(_MARKS) for x in common.words(text)) if w]
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -68,10 +57,11 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """A block of test items with their n-grams, sorted."""
 
-    def __init__(self, rows: list[tuple[int | None, list[str]]]):
+    def __init__(self, rows: list[tuple[int | None, list[bytes]]]):
         self.ids = [i for i, _ in rows]
         self.sizes = [len(ws) for _, ws in rows]
-        self.words = [_hashes(ws, {}) for _, ws in rows]
+        known = common.WordHashes(REMEMBERED)
+        self.words = [known.at(ws) for _, ws in rows]
         found: list[tuple[int, int, int]] = []
         self.widths = sorted({min(SEED, n) for n in self.sizes if n})
         for k, h in enumerate(self.words):
@@ -149,11 +139,11 @@ def _found(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
     sent = spark.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
-        block, known = sent.value, {}
+        block, known = sent.value, common.WordHashes(REMEMBERED)
         for b in batches:
             out: dict = {k: [] for k in ("row_key", "doc_id", "item", "start", "keys", "window")}
             for row, doc, text in zip(b["row_key"], b["doc_id"], b["text"], strict=True):
-                h = _hashes(words(text), known)
+                h = known.at(words(text))
                 hits = block.hits(h)
                 for item, start, end, keys in _windows(hits, block.sizes, len(h)) if hits else ():
                     out["row_key"].append(row)
@@ -208,7 +198,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "row_key long, doc_id long, item_id long, score double, start long, stop long, seeds int"
     # The items stream to the driver; a block of them is held at a time.
-    block_rows: list[tuple[int | None, list[str]]] = []
+    block_rows: list[tuple[int | None, list[bytes]]] = []
     found: list[DataFrame] = []
     size = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().toLocalIterator():

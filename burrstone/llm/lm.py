@@ -25,7 +25,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,25 +40,9 @@ CONTEXT_BUCKETS, STEPS = 48, 32
 TRAIN, TUNE, TEST = 0, 1, 2
 
 
-class Hasher:
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def tokens(self, text: str) -> np.ndarray:
-        """Hashes of the words and the end token."""
-        ws = common.words(text)
-        known = self.known
-        missing = set(ws).difference(known)
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = set(ws)
-            for w in missing:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out = np.empty(len(ws) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-        out[-1] = END
-        return out
+def token_hashes(text: str | None, known: common.WordHashes) -> np.ndarray:
+    """Hashes of the words and the end token."""
+    return np.append(known.at(common.words(text)), END)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -107,7 +90,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     """Cut a partition (doc_id, kind, text) into chunks of one kind each; the same rows give the same chunks."""
     from pyspark import TaskContext
 
-    hasher, base, made = Hasher(), TaskContext.get().partitionId() << 32, 0
+    known, base, made = common.WordHashes(REMEMBERED), TaskContext.get().partitionId() << 32, 0
     open_: dict[int, Chunk] = {}
     for b in batches:
         for doc, kind, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -115,7 +98,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             if c is None:
                 c = open_[kind] = Chunk(base + made, kind)
                 made += 1
-            t = hasher.tokens(text or "")
+            t = token_hashes(text, known)
             c.ids.append(doc)
             c.tokens.append(t)
             c.size += len(t)

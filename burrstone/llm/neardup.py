@@ -42,6 +42,8 @@ FAR = 20
 STRAYS = 64
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
+#: Bits of the map of wanted ids.
+MARKS = 1 << 22
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
 #: Odd multipliers of the hash functions, from a fixed seed.
@@ -60,25 +62,17 @@ class Shingler:
     """Sets of 64-bit shingle hashes."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size, self.known = size, common.WordHashes(REMEMBERED)
 
     def set_of(self, text: str | None) -> np.ndarray:
-        ws = common.words(text or "")
-        if not ws:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        missing = set(ws).difference(known)
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = set(ws)
-            for w in missing:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+        h = self.known.at(common.words(text))
+        if not len(h):
+            return h
         n = min(self.size, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
-            out = _mix(out ^ (h[k : len(h) - n + 1 + k] + np.uint64(0x9E3779B97F4A7C15)))
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+            out ^= out >> np.uint64(32)
         return np.unique(out)
 
 
@@ -90,21 +84,21 @@ def signature(s: np.ndarray) -> np.ndarray:
     return _mix(best)
 
 
-def index_keys(sig: np.ndarray) -> np.ndarray:
-    """CHUNKS * WIDTH keys: for each chunk and each symbol that may differ, a hash of the other symbols."""
-    grid = sig[: CHUNKS * WIDTH].reshape(CHUNKS, WIDTH)
+def index_keys(sigs: np.ndarray) -> np.ndarray:
+    """CHUNKS * WIDTH keys of each signature: for each chunk and each symbol that may differ, a hash of the others."""
+    grid = sigs[:, : CHUNKS * WIDTH].reshape(len(sigs), CHUNKS, WIDTH)
     keys = []
     for left_out in range(WIDTH):
-        k = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out + 1)
+        k = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out + 1), grid.shape[:2])
         for i in range(WIDTH):
             if i != left_out:
-                k = _mix(k ^ grid[:, i])
+                k = _mix(k ^ grid[:, :, i])
         keys.append(k)
-    return np.concatenate(keys)
+    return np.concatenate(keys, axis=1)
 
 
-def sketch(sig: np.ndarray) -> int:
-    return int(np.packbits((sig & np.uint64(1)).astype(np.uint8)).view(">i8")[0])
+def sketches(sigs: np.ndarray) -> np.ndarray:
+    return np.packbits((sigs & np.uint64(1)).astype(np.uint8), axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -113,86 +107,107 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         shingler = Shingler(size)
         for b in batches:
-            out: dict = {"doc_id": b["doc_id"], "n": [], "set_hi": [], "set_lo": [], "keys": [], "sketch": []}
-            for text in b["text"]:
-                s = shingler.set_of(text)
-                hi, lo = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist()
-                out["n"].append(len(s))
-                out["set_hi"].append(hi)
-                out["set_lo"].append(lo)
-                sig = signature(s) if len(s) else None
-                out["keys"].append([] if sig is None else index_keys(sig).view(np.int64).tolist())
-                out["sketch"].append(0 if sig is None else sketch(sig))
-            yield out
+            sets = [shingler.set_of(t) for t in b["text"]]
+            n = np.array([len(s) for s in sets], np.int64)
+            ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            keys: list = [[]] * len(sets)
+            sketch = np.zeros(len(sets), np.int64)
+            full = np.flatnonzero(n)
+            if len(full):
+                sigs = np.stack([signature(sets[i]) for i in full])
+                sketch[full] = sketches(sigs)
+                for i, k in zip(full.tolist(), index_keys(sigs).view(np.int64), strict=True):
+                    keys[i] = k
+            yield {"doc_id": b["doc_id"], "n": n, "set_hi": ids[:, 0], "set_lo": ids[:, 1], "keys": keys, "sketch": sketch}
 
     return common.arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, sketch long")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, shingles: the full sets of the rows of docs."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id, shingles: the full sets of the documents whose id is wanted.
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        shingler = Shingler(size)
-        for b in batches:
-            yield {"id": b["doc_id"], "shingles": [shingler.set_of(t).view(np.int64) for t in b["text"]]}
-
-    return common.arrow_map(docs.select("doc_id", "text"), rows, "id long, shingles array<long>")
+    A bitmap of MARKS hashed ids, of one size whatever the input, goes to the scan; texts whose id it does not hold are
+    passed over there, so sets are shuffled and texts are not. The join with the ids then is exact.
+    """
+    import pyarrow as pa
 
+    spark = docs.sparkSession
+    mark = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(MARKS)).cast("int")
+    held = wanted.select(F.pmod(F.xxhash64(F.col("id")), F.lit(MARKS)).cast("int").alias("mark")).distinct().toPandas()["mark"].to_numpy()
+    bits = np.zeros(MARKS, bool)
+    bits[held] = True
+    sent = spark.sparkContext.broadcast(np.packbits(bits))
 
-def _near(percent: int):
-    """Whether a pair (n, sketch) and (pn, psketch) can be similar enough by sizes and sketches."""
-    return (
-        (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-        & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("psketch"))) <= FAR)
-    )
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, known = Shingler(size), np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            b = b.filter(pa.array(known[b.column(2).to_numpy(zero_copy_only=False)]))
+            sets = [shingler.set_of(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+            ], names=["id", "which", "shingles"])
 
-
-def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id) for members that can be similar to the pivot of a bucket they are in."""
-    pivots = (
-        buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n", "sketch")).alias("p"))
-        .where("members > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.sketch").alias("psketch"))
-    )
-    return buckets.join(pivots, "key").where((F.col("id") != F.col("pivot")) & _near(percent)).select("pivot", "id").distinct()
+    found = docs.select("doc_id", "text", mark.alias("mark")).where("doc_id IS NOT NULL").mapInArrow(rows, "id long, which long, shingles array<long>")
+    # Rows that repeat an id and a text give one set; an id with several texts has several, any of which may link it.
+    return found.join(wanted, "id", "left_semi").dropDuplicates(["id", "which"]).select("id", "shingles")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough. A set goes once to each pivot of its document, and a pivot's set
     once to each block of its members, so a large group is many small ones."""
     pairs = cut(pairs)
-    wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
-    # A class representative may be repeated as a row; one row is enough.
-    sets = cut(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), size).dropDuplicates(["id"]))
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    wanted = cut(pairs.select("id").union(pairs.select("pivot")).distinct())
+    sets = cut(shingle_sets(docs, wanted, size))
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     blocked = pairs.join(counts, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     left = blocked.join(sets, "id").select("pivot", "block", "id", "shingles")
     right = counts.join(sets, counts["pivot"] == sets["id"]).select(
-        "pivot", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.col("shingles").alias("of_pivot")
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("shingles").alias("of_pivot")
     )
     both = F.size(F.array_intersect("shingles", "of_pivot"))
     return (
         left.join(right, ["pivot", "block"]).select("pivot", "id", both.alias("i"), (F.size("shingles") + F.size("of_pivot")).alias("s"))
-        .where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("pivot", "id")
+        .where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("pivot", "id").distinct()
     )
 
 
-def _stray_pairs(buckets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _near(percent: int):
+    """Whether a pair (n, sketch) and (pn, psketch) can be similar enough by sizes and sketches."""
+    return (
+        (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+        & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("psketch"))) <= FAR)
+    )
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """key, id, pivot: the members of buckets with several members. Only keys and ids are shuffled for it, and the
+    count of a bucket is summed before the shuffle, so a bucket that holds a third of all documents is no large group."""
+    rows = reps.select(F.explode("keys").alias("key"), "id")
+    pivots = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
+    return rows.join(pivots, "key")
+
+
+def _star_pairs(shared: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id) for members that can be similar to the pivot of a bucket they are in."""
+    pairs = shared.where("id <> pivot").select("pivot", "id").distinct()
+    of_pivot = facts.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
+    return pairs.join(facts, "id").join(of_pivot, "pivot").where(_near(percent)).select("pivot", "id")
+
+
+def _stray_pairs(shared: DataFrame, facts: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """(pivot, id): members that are not in the component of their bucket's pivot, with members of other components."""
-    # Only buckets with several members matter.
-    counted = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first")).where("members > 1")
-    held = buckets.join(counted, "key")
-    of = comp.select(F.col("id"), F.col("component"))
-    held = (
-        held.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        .join(of.select(F.col("id").alias("first"), F.col("component").alias("lead")), "first", "left")
-        .withColumn("lead", F.coalesce("lead", "first"))
-        .withColumn("stray", F.col("component") != F.col("lead"))
+    of = facts.join(comp, "id", "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+    lead = comp.select(F.col("id").alias("pivot"), F.col("component").alias("lead"))
+    marked = (
+        shared.join(of, "id").join(lead, "pivot", "left")
+        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).select("key", "id", "n", "sketch", "component", "stray")
     )
-    mixed = held.where("stray").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
-    held = cut(held.join(mixed, "key").select("key", "id", "n", "sketch", "keys", "component", "stray", "strays"))
+    marked = cut(marked)
+    mixed = marked.where("stray").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
+    held = marked.join(mixed, "key")
 
     def across(rows: DataFrame) -> DataFrame:
-
         a = rows.where("stray").select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"), F.col("component").alias("pc"))
         b = rows.select("key", "id", "n", "sketch", "component")
         return (
@@ -202,9 +217,11 @@ def _stray_pairs(buckets: DataFrame, comp: DataFrame, percent: int) -> DataFrame
 
     light = across(held.where(F.col("strays") <= STRAYS))
     # A heavy bucket is split by every other key of its members: key and other key together make the new key.
-    split = held.where(F.col("strays") > STRAYS).select(
-        F.explode("keys").alias("other"), "key", "id", "n", "sketch", "component", "stray"
-    ).where("other <> key").withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")))
+    split = (
+        held.where(F.col("strays") > STRAYS).drop("strays").join(reps.select("id", "keys"), "id")
+        .select("key", "id", "n", "sketch", "component", "stray", F.explode("keys").alias("other")).where("other <> key")
+        .withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other")
+    )
     return light.unionByName(across(split)).select("pivot", "id").distinct()
 
 
@@ -212,23 +229,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     """doc_id, n_shingles, component_id (least id that links reach) and kept, for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(signatures(docs, size))
-    # One representative for each class of equal sets.
+    # One representative for each class of equal sets; equal sets have equal keys.
     classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo").agg(
-        F.min(F.struct("doc_id", "n", "sketch", "keys")).alias("r")
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
     )
-    reps = cut(classes.select("set_hi", "set_lo", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"), F.col("r.keys").alias("keys")))
-    buckets = reps.select("id", "n", "sketch", F.explode("keys").alias("key"))
-    links = cut(_confirmed(_star_pairs(buckets, percent), docs, size, percent))
+    reps = cut(classes)
+    facts = reps.select("id", "n", "sketch")
+    shared = cut(_shared(reps))
+    links = cut(_confirmed(_star_pairs(shared, facts, percent), docs, size, percent))
     comp = cut(components(links, "pivot", "id"))
-    full = reps.select("id", "n", "sketch", "keys", F.explode("keys").alias("key"))
-    strays = cut(_stray_pairs(full, comp, percent))
-    more = cut(_confirmed(strays, docs, size, percent))
+    more = cut(_confirmed(_stray_pairs(shared, facts, reps, comp, percent), docs, size, percent))
     comp = cut(components(links.unionByName(more), "pivot", "id"))
     member = reps.select("set_hi", "set_lo", "id").join(comp, "id", "left").select(
         F.col("set_hi").alias("__hi"), F.col("set_lo").alias("__lo"), F.coalesce("component", "id").alias("__component")
     )
     rows = sig.select("doc_id", "n", "set_hi", "set_lo")
-    # Only classes of several rows or linked ones differ from their own id, but every row is answered by one join.
     out = rows.join(member, (rows["set_hi"] == member["__hi"]) & (rows["set_lo"] == member["__lo"]) & (rows["n"] > 0), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("__component", "doc_id")).cast("long")
     return out.select(
