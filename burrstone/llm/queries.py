@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, common, decontamination, linededup, lm, neardup, packing, sharding, tokens, toxicity
+from . import ann, common, decontamination, html, linededup, lm, neardup, packing, sharding, tokens, toxicity
 
 SHARDS = 24
 MIN_LINE_DOCS, MIN_LINE_CHARS = 10, 1
@@ -58,6 +58,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(spark, docs, items).drop("row_key")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(spark, common.read(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return toxicity.score_rows(docs, toxicity.fit(docs, common.read(spark, sf_dir, "labels")))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
 }
 
