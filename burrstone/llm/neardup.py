@@ -250,3 +250,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, less those that are not the first of their component. Spark broadcasts the ids
+    that go only if they are few; rows with a null id stay."""
+    gone = cut(near_duplicates(spark, docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
