@@ -1,3 +1,3 @@
 """Registered queries by topic."""
 
-from burrstone.plans import patterns  # noqa: F401
+from burrstone.plans import aggregates, joins, patterns  # noqa: F401
