@@ -20,8 +20,9 @@ length are scored whole; an empty table gives no rows; other columns are not rea
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,55 +57,65 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """Documents of one kind with their tokens."""
+    """Documents of one kind: their ids, token counts, and tokens as codes of the chunk's own vocabulary."""
 
     number: int
     kind: int
-    ids: list = field(default_factory=list)
-    tokens: list = field(default_factory=list)
-    size: int = 0
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct n-gram hashes, their counts, the places of each token's word, context and bigram in them,
-        and the lengths of the documents."""
-        sizes = np.array([len(t) for t in self.tokens])
-        w = np.concatenate(self.tokens)
-        u = np.empty_like(w)
-        u[1:] = w[:-1]
-        u[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = START
-        words, wi = np.unique(w, return_inverse=True)
-        pairs, pi, pn = np.unique(pair_hash(u, w), return_inverse=True, return_counts=True)
-        # The start context counts once for each document; END is never a context. Both are entries like words.
-        keys = np.concatenate([words, [START], pairs])
-        counts = np.concatenate([np.bincount(wi, minlength=len(words)), [len(sizes)], pn])
-        ci = np.empty_like(wi)
-        ci[1:] = wi[:-1]
-        ci[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = len(words)
+    ids: list
+    sizes: np.ndarray
+    codes: np.ndarray
+    vocab: np.ndarray
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct n-gram hashes, their counts, and the places of each token's word, context and bigram there.
+
+        The first places are the chunk's words, then the start context, then bigrams, before sorting.
+        """
+        import pandas as pd
+
+        v = len(self.vocab)
+        starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        context = np.empty_like(self.codes)
+        context[1:] = self.codes[:-1]
+        context[starts] = v
+        hashes = np.append(self.vocab, START)
+        pair, distinct = pd.factorize(context.astype(np.int64) * v + self.codes)
+        keys = np.concatenate([hashes, pair_hash(hashes[distinct // v], hashes[distinct % v])])
+        # The start context counts once for each document; the end token is never a context.
+        counts = np.concatenate([np.bincount(self.codes, minlength=v), [len(self.sizes)], np.bincount(pair, minlength=len(distinct))])
         order = np.argsort(keys, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        return keys[order], counts[order], place[wi], place[ci], place[len(words) + 1 + pi], sizes
+        return keys[order], counts[order], place[self.codes], place[context], place[v + 1 + pair]
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Cut a partition (doc_id, kind, text) into chunks of one kind each; the same rows give the same chunks."""
+    """Cut a partition (doc_id, kind, text) into chunks of one kind each. Rows of a kind are cut alike whatever rows of
+    other kinds stand between them, so a scan that leaves those out gives the same chunks."""
+    import pandas as pd
     from pyspark import TaskContext
 
-    known, base, made = common.WordHashes(REMEMBERED), TaskContext.get().partitionId() << 32, 0
-    open_: dict[int, Chunk] = {}
+    base, known = TaskContext.get().partitionId() << 32, common.WordHashes(REMEMBERED)
+    made, open_ = Counter(), {}
+
+    def close(kind: int) -> Chunk:
+        ids, tokens, _ = open_.pop(kind)
+        codes, vocab = pd.factorize(np.concatenate(tokens))
+        made[kind] += 1
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        return Chunk(base + (kind << 28) + made[kind], kind, ids, sizes, codes, vocab)
+
     for b in batches:
         for doc, kind, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            c = open_.get(kind)
-            if c is None:
-                c = open_[kind] = Chunk(base + made, kind)
-                made += 1
+            held = open_.setdefault(kind, [[], [], 0])
             t = token_hashes(text, known)
-            c.ids.append(doc)
-            c.tokens.append(t)
-            c.size += len(t)
-            if c.size >= CHUNK_TOKENS:
-                yield open_.pop(kind)
-    yield from open_.values()
+            held[0].append(doc)
+            held[1].append(t)
+            held[2] += len(t)
+            if held[2] >= CHUNK_TOKENS:
+                yield close(kind)
+    for kind in list(open_):
+        yield close(kind)
 
 
 def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -164,7 +175,7 @@ def gram_totals(rows: DataFrame, buckets: int) -> DataFrame:
             at = _bounds(keys, buckets)
             # Words are told from bigrams by a mark in the counts' lowest bit, for V and N.
             marked = counts * 2
-            marked[np.unique(wi)] += 1
+            marked[wi] |= 1
             for k in np.flatnonzero(np.diff(at)):
                 i, j = at[k], at[k + 1]
                 yield _rows([(c.number, c.kind, int(k), _pack_keys(keys[i:j]), _pack_counts(marked[i:j]))], ask)
@@ -189,6 +200,11 @@ def gram_totals(rows: DataFrame, buckets: int) -> DataFrame:
             mine = inverse[at : at + size]
             at += size
             out.append((chunk, kd, bucket, _pack_counts(counted[mine]), _pack_counts(tuned[mine]), 0, 0, 0, 0))
+        # Held-out words by how often counted text has them, for the weight of the unigram estimate.
+        cells, which = np.unique(_step_of_count(counted[word]), return_inverse=True)
+        for cell, n in zip(cells.tolist(), np.bincount(which, weights=tuned[word], minlength=len(cells)).tolist(), strict=True):
+            if n:
+                out.append((-2, -2, bucket, b"", b"", cell, int(n), 0, 0))
         total = counted + tuned
         out.append((
             -1, -1, bucket, b"", b"", int((counted[word] > 0).sum()), int(counted[word].sum()),
@@ -208,21 +224,18 @@ def _with_documents(rows: DataFrame, totals: DataFrame, kinds: list[int]) -> Dat
 
     def documents(batches):
         import pickle
-        import zlib
 
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
         for c in chunks_of(batches):
-            if c.kind in kinds:
-                # Words as ranks by frequency in the chunk, low bytes apart: short under any compressor.
-                sizes = np.array([len(t) for t in c.tokens], dtype=np.int64)
-                vocab, at, n = np.unique(np.concatenate(c.tokens), return_inverse=True, return_counts=True)
-                order = np.argsort(-n, kind="stable")
-                rank = np.empty(len(order), np.uint32)
-                rank[order] = np.arange(len(order), dtype=np.uint32)
-                planes = rank[at].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() if len(order) < 1 << 24 else rank[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                raw = pickle.dumps((c.ids, sizes, vocab[order], planes), protocol=5)
-                yield _rows([(c.number, c.kind, -1, None, None, zlib.compress(raw, 1))], held)
-
-    packed = rows.mapInArrow(documents, _HELD)
+            # Codes are given in order of appearance, so frequent words have small ones: low bytes apart compress well.
+            width = 3 if len(c.vocab) < 1 << 24 else 4
+            planes = c.codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+            raw = pickle.dumps((c.ids, c.sizes, c.vocab, width, planes), protocol=5)
+            yield _rows([(c.number, c.kind, -1, None, None, pack.compress(raw))], held)
+
+    packed = rows.where(F.col("kind").isin(kinds)).mapInArrow(documents, _HELD)
     given = totals.where(F.col("kind").isin(kinds)).select("chunk", "kind", "bucket", "counted", "tuned", F.lit(None).cast("binary").alias("documents"))
     return packed.unionByName(given)
 
@@ -230,16 +243,16 @@ def _with_documents(rows: DataFrame, totals: DataFrame, kinds: list[int]) -> Dat
 def _opened(pdf) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """The chunk of a group and the totals of its n-grams."""
     import pickle
-    import zlib
+
+    import zstandard
 
     at = pdf["bucket"].to_numpy()
     row = pdf[at < 0].iloc[0]
-    ids, sizes, vocab, planes = pickle.loads(zlib.decompress(row["documents"]))  # written by this job's own tasks
-    width = 3 if len(vocab) < 1 << 24 else 4
+    # Written by this job's own tasks.
+    ids, sizes, vocab, width, planes = pickle.loads(zstandard.ZstdDecompressor().decompress(row["documents"]))
     wide = np.zeros((int(sizes.sum()), 4), np.uint8)
     wide[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
-    tokens = vocab[wide.view("<u4").ravel()]
-    chunk = Chunk(int(row["chunk"]), int(row["kind"]), ids, np.split(tokens, np.cumsum(sizes)[:-1]))
+    chunk = Chunk(int(row["chunk"]), int(row["kind"]), ids, sizes, wide.view("<u4").ravel().astype(np.int64), vocab)
     given = pdf[at >= 0].sort_values("bucket")
     return chunk, np.concatenate([_unpack_counts(x) for x in given["counted"]]), np.concatenate([_unpack_counts(x) for x in given["tuned"]])
 
@@ -281,32 +294,37 @@ def _ratio(step: int) -> float:
     return 0.0 if step == -(1 << 30) else math.exp(step / STEPS)
 
 
+def _step_of_count(n: np.ndarray) -> np.ndarray:
+    """A count, exact below 1024 and in steps of its logarithm above, so that cells are few whatever the input."""
+    with np.errstate(divide="ignore"):
+        return np.where(n < 1024, n, 1024 + np.round((np.log(np.maximum(n, 1)) - math.log(1024)) * STEPS)).astype(np.int64)
+
+
+def _count_of_step(step: int) -> float:
+    return step if step < 1024 else 1024 * math.exp((step - 1024) / STEPS)
+
+
 def learn(rows: DataFrame, totals: DataFrame) -> Weights:
     """Expectation-maximisation on the held-out tokens, with the counts of the other training documents."""
     s = totals.where("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_words_all", "n_tokens_all")]).first()
     v, n = s["n_words"], s["n_tokens"]
+    words = totals.where("chunk = -2").groupBy("n_words").agg(F.sum("n_tokens").alias("n")).collect()
+    unigram = _em([(_count_of_step(r["n_words"]) * (v + 1.0) / max(1, n), r["n"]) for r in words])
+
+    def cells(pdf):
+        import pandas as pd
+
+        chunk, counted, _ = _opened(pdf)
+        _, _, wi, ci, pi = chunk.grams()
+        p1 = unigram * counted[wi] / max(1, n) + (1 - unigram) / (v + 1.0)
+        seen = counted[ci]
+        cell = context_bucket(seen).astype(np.int64) << 40 | (_steps(counted[pi] / np.maximum(1, seen) / p1) + (1 << 31))
+        cell, k = np.unique(cell, return_counts=True)
+        return pd.DataFrame({"context": cell >> 40, "step": (cell & ((1 << 40) - 1)) - (1 << 31), "n": k})
 
-    def cells(level: int, mix: float | None):
-        def run(pdf):
-            import pandas as pd
-
-            chunk, counted, _ = _opened(pdf)
-            _, _, wi, ci, pi, _ = chunk.grams()
-            if level == 1:
-                where, ratio = np.zeros(len(wi), np.int64), counted[wi] * (v + 1.0) / max(1, n)
-            else:
-                p1 = mix * counted[wi] / max(1, n) + (1 - mix) / (v + 1.0)
-                seen = counted[ci]
-                where, ratio = context_bucket(seen), counted[pi] / np.maximum(1, seen) / p1
-            both, k = np.unique(np.stack([where, _steps(ratio)]), axis=1, return_counts=True)
-            return pd.DataFrame({"context": both[0], "step": both[1], "n": k})
-
-        grouped = _with_documents(rows, totals, [TUNE]).groupBy("chunk").applyInPandas(run, "context long, step long, n long")
-        return grouped.groupBy("context", "step").agg(F.sum("n").alias("n")).collect()
-
-    unigram = _em([(_ratio(r["step"]), r["n"]) for r in cells(1, None)])
+    grouped = _with_documents(rows, totals, [TUNE]).groupBy("chunk").applyInPandas(cells, "context long, step long, n long")
     by: dict[int, list] = {}
-    for r in cells(2, unigram):
+    for r in grouped.groupBy("context", "step").agg(F.sum("n").alias("n")).collect():
         by.setdefault(r["context"], []).append((_ratio(r["step"]), r["n"]))
     bigram = np.zeros(CONTEXT_BUCKETS)
     for k in range(1, CONTEXT_BUCKETS):
@@ -332,7 +350,8 @@ def score_rows(spark: SparkSession, docs: DataFrame, folds: int = 7, test_fold:
 
         chunk, counted, tuned = _opened(pdf)
         total = counted + tuned
-        _, _, wi, ci, pi, sizes = chunk.grams()
+        _, _, wi, ci, pi = chunk.grams()
+        sizes = chunk.sizes
         cw, cu = total[wi], total[ci]
         base = np.log10((cw + 1.0) / (w.tokens + w.words + 1.0))
         p1 = w.unigram * cw / max(1, w.tokens) + (1 - w.unigram) / (w.words + 1.0) if w.tokens else np.ones(len(cw))
