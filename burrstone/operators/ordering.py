@@ -56,9 +56,9 @@ def bucket_sort(df: DataFrame, order: Sequence[Column | str], parts: int) -> Dat
 
 
 def sortedness_violations(df: DataFrame, position: str, key: str, parts: int | None = None) -> DataFrame:
-    """Rows whose key is less than that of the row before. Ranges are checked inside and at their borders."""
+    """Rows whose key is less than that of the row before (equal positions in order of key). Ranges are checked inside and at their borders."""
     rows = _ranged(df.select(position, key), [position], parts)
-    inside = Window.partitionBy("__part").orderBy(position)
+    inside = Window.partitionBy("__part").orderBy(position, key)
     within = rows.withColumn("previous", F.lag(key).over(inside)).where(F.col("previous") > F.col(key)).select(position, "previous", key)
     edges = rows.groupBy("__part").agg(
         F.min(F.struct(position, key)).alias("first"), F.max(F.struct(position, key)).alias("last")
