@@ -38,14 +38,14 @@ from . import common
 SYMBOLS, CHUNKS, WIDTH = 64, 8, 5
 #: Bits in which the sketches of a pair may differ.
 FAR = 20
-#: A bucket with more strays than this is split by the documents' other keys.
-STRAYS = 64
+#: A bucket in which strays and members make more pairs than this is split by the documents' other keys.
+BUCKET_PAIRS = 200_000
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
 #: Bits of the map of wanted ids.
 MARKS = 1 << 22
 #: Words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Odd multipliers of the hash functions, from a fixed seed.
 _MULTIPLIERS = np.random.default_rng(20240501).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -204,7 +204,7 @@ def _stray_pairs(shared: DataFrame, facts: DataFrame, reps: DataFrame, comp: Dat
         .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).select("key", "id", "n", "sketch", "component", "stray")
     )
     marked = cut(marked)
-    mixed = marked.where("stray").groupBy("key").agg(F.count(F.lit(1)).alias("strays"))
+    mixed = marked.groupBy("key").agg((F.count_if("stray") * F.count(F.lit(1))).alias("pairs")).where("pairs > 0")
     held = marked.join(mixed, "key")
 
     def across(rows: DataFrame) -> DataFrame:
@@ -215,10 +215,10 @@ def _stray_pairs(shared: DataFrame, facts: DataFrame, reps: DataFrame, comp: Dat
             .select(F.greatest("pivot", "id").alias("id"), F.least("pivot", "id").alias("pivot"))
         )
 
-    light = across(held.where(F.col("strays") <= STRAYS))
+    light = across(held.where(F.col("pairs") <= BUCKET_PAIRS))
     # A heavy bucket is split by every other key of its members: key and other key together make the new key.
     split = (
-        held.where(F.col("strays") > STRAYS).drop("strays").join(reps.select("id", "keys"), "id")
+        held.where(F.col("pairs") > BUCKET_PAIRS).drop("pairs").join(reps.select("id", "keys"), "id")
         .select("key", "id", "n", "sketch", "component", "stray", F.explode("keys").alias("other")).where("other <> key")
         .withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other")
     )
