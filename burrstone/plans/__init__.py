@@ -1,3 +1,3 @@
 """Registered queries by topic."""
 
-from burrstone.plans import aggregates, graphs, joins, ordering, patterns, scalars  # noqa: F401
+from burrstone.plans import aggregates, graphs, joins, ordering, patterns, scalars, sources, streams  # noqa: F401

@@ -108,10 +108,10 @@ def residual_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.where("l_quantity < 10 AND l_discount <> 0.05D AND l_tax > 0.02D AND l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
 
 
-@query("computed_projection", "SELECT s_suppkey, s_suppkey * 2 + 1 AS odd, s_nationkey % 5 AS bucket, round(s_acctbal * 1.1, 2) AS raised FROM supplier")
+@query("computed_projection", "SELECT s_suppkey, s_suppkey * 2 + 1 AS odd, s_nationkey % 5 AS bucket, s_acctbal * 2 AS doubled FROM supplier")
 def computed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", (F.col("s_suppkey") * 2 + 1).alias("odd"), (F.col("s_nationkey") % 5).alias("bucket"), F.round(F.col("s_acctbal") * F.lit(1.1), 2).alias("raised"))
+    return s.select("s_suppkey", (F.col("s_suppkey") * 2 + 1).alias("odd"), (F.col("s_nationkey") % 5).alias("bucket"), (F.col("s_acctbal") * 2).alias("doubled"))
 
 
 @query("range_loop", "SELECT i, i * i AS square FROM range(5, 105) t(i)")

@@ -1 +1 @@
-"""Package."""
+"""Readers, writers and generators of tuples and edges."""
