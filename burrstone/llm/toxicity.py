@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The bound of the labelled sample: documents of either class, taken by a hash of their ids.
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 1500, 4500
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 1000, 3500
 #: Characters of the n-grams that are tested, and the log-likelihood ratio (nats) that one needs.
 GRAMS, BAR = (5, 6, 7, 8), 14.0
 #: Bytes of a dictionary's own part, and words of the part that both have.
@@ -84,60 +84,70 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _distinct_contexts(texts: list[list[str]], ids: dict[str, int], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each word is found in contexts not seen before, and all contexts seen."""
-    hashes, middles = [], []
-    for ws in texts:
-        x = np.fromiter((ids.setdefault(w, len(ids)) for w in ws), dtype=np.uint64, count=len(ws)) + np.uint64(1)
-        if len(x):
-            p = np.concatenate([[np.uint64(0)], x[:-1]])
-            n = np.concatenate([x[1:], [np.uint64(0)]])
-            hashes.append((p * np.uint64(0x9E3779B97F4A7C15)) ^ (x * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (n * np.uint64(0x165667B19E3779F9)))
-            middles.append((x - np.uint64(1)).astype(np.int64))
-    if not hashes:
-        return np.zeros(0, np.int64), seen
-    h, at = np.unique(np.concatenate(hashes), return_index=True)
+def _distinct_contexts(docs: list[np.ndarray], n: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of n words is found in contexts not seen before, and all contexts seen."""
+    docs = [d for d in docs if len(d)]
+    if not docs:
+        return np.zeros(n, np.int64), seen
+    # Documents end to end with a word of no number between them.
+    gap = np.full(1, -1, np.int32)
+    x = np.concatenate([p for d in docs for p in (gap, d)] + [gap]).astype(np.uint64) + np.uint64(2)
+    h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
+    middle = (x[1:-1] - np.uint64(2)).astype(np.int32)
+    del x
+    h, middle = h[middle >= 0], middle[middle >= 0]
+    h, at = np.unique(h, return_index=True)
     new = ~np.isin(h, seen)
-    return np.bincount(np.concatenate(middles)[at[new]], minlength=len(ids)), np.union1d(seen, h)
+    return np.bincount(middle[at[new]], minlength=n), np.union1d(seen, h)
+
+
+def _ratio(a: int, b: int, share: float) -> float:
+    """The log-likelihood ratio of a toxic and b ordinary finds against the toxic share of all; 0 if they are not more."""
+    e = (a + b) * share
+    return 0.0 if a <= e else a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0.0)
+
+
+def _telling(names: list[str], toxic: np.ndarray, ordinary: np.ndarray, share: float) -> set[str]:
+    """Character n-grams that tell toxic text, one length at a time."""
+    out: set[str] = set()
+    for m in GRAMS:
+        def grams(w: str, m: int = m) -> set[str]:
+            w = f" {w} "
+            return {w[i : i + m] for i in range(len(w) - m + 1)}
+
+        found: Counter = Counter()
+        for k in np.flatnonzero(toxic).tolist():
+            n = int(toxic[k])
+            for g in grams(names[k]):
+                found[g] += n
+        found = Counter({g: n for g, n in found.items() if _ratio(n, 0, share) > BAR})
+        beside: Counter = Counter()
+        for k in np.flatnonzero(ordinary).tolist():
+            n = int(ordinary[k])
+            for g in grams(names[k]):
+                if g in found:
+                    beside[g] += n
+        out |= {g for g, a in found.items() if _ratio(a, beside[g], share) > BAR and a > 1.5 * beside[g]}
+    return out
 
 
 def train(toxic_texts: list[str], ordinary_texts: list[str]) -> Model:
     """Both dictionaries, the bar of a window and the curve of the score from sampled texts."""
-    share = (len(toxic_texts) + 0.5) / (len(toxic_texts) + len(ordinary_texts) + 1)
-    base = Model(b"", b"", 1, (math.log(share / (1 - share)) if toxic_texts else -30.0, 0.0, 0.0))
+    rate = (len(toxic_texts) + 0.5) / (len(toxic_texts) + len(ordinary_texts) + 1)
+    base = Model(b"", b"", 1, (math.log(rate / (1 - rate)) if toxic_texts else -30.0, 0.0, 0.0))
     if not toxic_texts or not ordinary_texts:
         return base
-    split = [[windows(t) for t in ts] for ts in (ordinary_texts, toxic_texts)]
     ids: dict[str, int] = {}
-    ordinary, seen = _distinct_contexts(split[0], ids, np.zeros(0, np.uint64))
-    toxic, _ = _distinct_contexts(split[1], ids, seen)
-    del seen
-    ordinary = np.pad(ordinary, (0, len(ids) - len(ordinary)))
-    toxic = np.pad(toxic, (0, len(ids) - len(toxic)))
+    numbers = [[np.array([ids.setdefault(w, len(ids)) for w in windows(t)], dtype=np.int32) for t in ts] for ts in (ordinary_texts, toxic_texts)]
     names = list(ids)
-    part = toxic.sum() / max(1, toxic.sum() + ordinary.sum())
-
-    def grams(w: str) -> set[str]:
-        w = f" {w} "
-        return {w[i : i + m] for m in GRAMS for i in range(len(w) - m + 1)}
-
-    in_toxic: Counter = Counter()
-    for k in np.flatnonzero(toxic):
-        for g in grams(names[k]):
-            in_toxic[g] += int(toxic[k])
-    in_toxic = Counter({g: n for g, n in in_toxic.items() if n >= 3})
-    in_ordinary: Counter = Counter()
-    for k in np.flatnonzero(ordinary):
-        for g in grams(names[k]) & in_toxic.keys():
-            in_ordinary[g] += int(ordinary[k])
-
-    def ratio(a: int, b: int) -> float:
-        e = (a + b) * part
-        return 0.0 if a <= e else a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0.0)
-
-    telling = {g for g, a in in_toxic.items() if ratio(a, in_ordinary[g]) > BAR and a > 1.5 * in_ordinary[g]}
+    del ids
+    ordinary, seen = _distinct_contexts(numbers[0], len(names), np.zeros(0, np.uint64))
+    toxic, _ = _distinct_contexts(numbers[1], len(names), seen)
+    del seen
+    share = toxic.sum() / max(1, toxic.sum() + ordinary.sum())
+    telling = _telling(names, toxic, ordinary, share)
     pieces: Counter = Counter()
-    for k in np.flatnonzero(toxic):
+    for k in np.flatnonzero(toxic).tolist():
         w = f" {names[k]} "
         covered = [False] * len(w)
         for m in GRAMS:
@@ -147,23 +157,22 @@ def train(toxic_texts: list[str], ordinary_texts: list[str]) -> Model:
         for piece in "".join(c if on else "\0" for c, on in zip(w, covered, strict=True)).split("\0"):
             if len(piece) >= min(GRAMS):
                 pieces[piece] += int(toxic[k])
-    ranked = [names[k] for k in np.argsort(-ordinary, kind="stable") if ordinary[k]]
+    ranked = [names[k] for k in np.argsort(-ordinary, kind="stable")[: COMMON_WORDS + OWN_BYTES] if ordinary[k]]
     own = "".join(p for p, _ in sorted(pieces.items(), key=lambda x: (x[1], x[0]))).encode()[-OWN_BYTES:]
     common_part = (" " + " ".join(reversed(ranked[:COMMON_WORDS])) + " ").encode() + BEFORE
-    rest = (" " + " ".join(ranked[COMMON_WORDS : COMMON_WORDS + OWN_BYTES])).encode()
+    rest = (" " + " ".join(ranked[COMMON_WORDS:])).encode()
     model = Model(own + common_part, rest[: len(own)] + common_part, 1, base.weights)
-    # The bar of a window: the least distance at which ordinary windows of the sample are rare beside toxic ones.
+    # The bar of a window: the distance from which on the likelihood ratio of toxic windows is largest.
     distance = model.distances()
-    far = {k: distance(names[k]) for k in np.flatnonzero(toxic + ordinary)}
+    far = np.fromiter((distance(w) for w in names), np.int32, len(names))
     best = (-1.0, 2)
     for bar in range(1, 9):
-        a = sum(int(toxic[k]) for k, d in far.items() if d >= bar)
-        b = sum(int(ordinary[k]) for k, d in far.items() if d >= bar)
-        best = max(best, (ratio(a, b) if a + b else 0.0, bar))
+        a, b = int(toxic[far >= bar].sum()), int(ordinary[far >= bar].sum())
+        best = max(best, (_ratio(a, b, share) if a + b else 0.0, bar))
     model.bar = best[1]
-    hot = {names[k] for k, d in far.items() if d >= model.bar}
-    hits = np.array([sum(w in hot for w in ws) for side in split for ws in side], dtype=float)
-    y = np.array([0.0] * len(split[0]) + [1.0] * len(split[1]))
+    hot = far >= model.bar
+    hits = np.array([float(hot[d].sum()) for side in numbers for d in side])
+    y = np.array([0.0] * len(numbers[0]) + [1.0] * len(numbers[1]))
     x = np.stack([np.ones_like(hits), hits > 0, np.log1p(hits)], axis=1)
     w = np.zeros(3)
     for _ in range(50):
