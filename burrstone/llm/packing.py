@@ -16,6 +16,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,20 +27,32 @@ from . import common
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 500_000
-#: Characters that Python's split takes for white space and the tokenizer does not.
-_ODD = "\x1c\x1d\x1e\x1f"
-#: Marks at a word's end that are a pre-token of their own whatever stands before them.
-_TAIL = ".,;:!?|%$&*#"
+#: Pre-tokens whose ids a Python worker remembers; a full memory is emptied.
+REMEMBERED = 1_000_000
+#: Letters of extended Latin that are one character in lower case and in composed form.
+_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
+#: Texts with a character outside this set, or with the start of a special token, go to the tokenizer whole: beyond
+#: extended Latin composed forms may matter, superscripts and fractions are numbers but no digits, the dotted capital I
+#: has two characters in lower case, and four control characters are white space to Python only.
+_OTHER = re.compile("[^\x00-\x1b\x20-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]")
+#: The tokenizer's own split of the other texts, once lower-cased: letters, contractions, single digits, marks.
+_CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+_SPLIT = re.compile(rf"[{_LETTERS}]+|{_CONTRACTIONS}|[0-9]|[^\s{_LETTERS}0-9]+")
+_SPLIT_ASCII = re.compile(rf"[a-z]+|{_CONTRACTIONS}|[0-9]|[^\sa-z0-9]+")
+
+
+def split(text: str) -> list[str] | None:
+    """The pre-tokens of a text, or None for one that must go to the tokenizer whole."""
+    if "<|" in text or _OTHER.search(text):
+        return None
+    return (_SPLIT_ASCII if text.isascii() else _SPLIT).findall(text.lower())
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and never merges across it, so the
-    ids of a text are the ids of its words in turn; words are remembered in two generations, the older dropped.
-
-    A word of Latin letters is one pre-token, which ends with the one id that carries the word end. So many such words
-    go to the tokenizer in one call, and its ids are cut at word ends. Other words are encoded one by one.
+    """Ids of texts. The tokenizer lower-cases, drops white space and never merges across its pre-tokens, so the ids of
+    a text are those of its pre-tokens in turn: each new one is encoded once, its ids are kept in one flat array, and a
+    text's ids are gathered from there. The last id of a run of letters is the only one that carries the word end, so
+    many new runs go to the tokenizer in one call, and its ids are cut at word ends.
     """
 
     def __init__(self, path: str):
@@ -52,80 +65,69 @@ class WordIds:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, cores: list[str]) -> list[bytes]:
-        """The ids of words of one pre-token each."""
-        out: list[bytes] = []
-        for k in range(0, len(cores), 5000):
-            part = cores[k : k + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(part):  # not one pre-token each after all
-                out.extend(self._raw(part))
-                continue
-            raw, at = ids.tobytes(), 0
-            for stop in stops:
-                out.append(raw[at:stop])
-                at = stop
-        return out
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, "<u4")  # piece k is flat[starts[k]:starts[k + 1]]
+
+    def _raw(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, missing: set[str]) -> None:
-        young, old = self.young, self.old
-        plain: list[tuple[str, str, str]] = []
-        other: list[str] = []
-        for w in missing:
-            known = old.get(w)
-            if known is not None:
-                young[w] = known
-                continue
-            core = w.rstrip(_TAIL)
-            low = core.lower()
-            if core.isalpha() and max(core) < "\u0250" and len(low) == len(core):
-                plain.append((w, low, w[len(core) :]))
-            else:
-                other.append(w)
-        if plain:
-            cores = list({c for _, c, _ in plain})
-            ids = dict(zip(cores, self._letters(cores), strict=True))
-            for tail in {t for _, _, t in plain}.difference(self.tails):
-                self.tails[tail] = self._raw([tail])[0]
-            tails = self.tails
-            for w, core, tail in plain:
-                young[w] = ids[core] + tails[tail]
-            if len(tails) > 10_000:
-                self.tails = {"": b""}
-        if other:
-            young.update(zip(other, self._raw(other), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Texts are taken in groups of about a million characters, so calls are few."""
-        out: list[bytes] = []
+        letters = [p for p in missing if p.isalpha()]
+        order, ids, sizes = [], [self.flat], [np.diff(self.starts)]
+        for k in range(0, len(letters), 5000):
+            part = letters[k : k + 5000]
+            made = self._raw("\n".join(part))
+            stops = np.flatnonzero(self.ends[made]) + 1
+            if len(stops) == len(part):
+                ids.append(made)
+                sizes.append(np.diff(stops, prepend=0))
+            else:  # not one pre-token each after all
+                each = [self._raw(p) for p in part]
+                ids.extend(each)
+                sizes.append(np.array([len(x) for x in each]))
+            order.extend(part)
+        for p in missing.difference(order):
+            ids.append(self._raw(p))
+            sizes.append(np.array([len(ids[-1])]))
+            order.append(p)
+        self.number.update(zip(order, range(len(self.number), len(self.number) + len(order)), strict=True))
+        self.flat = np.concatenate(ids)
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _gather(self, pieces: list[str]) -> np.ndarray:
+        k = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        start = self.starts[k]
+        size = self.starts[k + 1] - start
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Texts are taken in groups of about two million characters, so calls are few."""
+        out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
-            if len(self.young) > REMEMBERED:
-                self.old, self.young = self.young, {}
-            young, split, size, missing = self.young, [], 0, set()
-            while at < len(texts) and (not split or size < 1_000_000):
+            if len(self.number) > REMEMBERED:
+                self._empty()
+            group: list[tuple[str, list[str] | None]] = []
+            size, seen = 0, set()
+            while at < len(texts) and (not group or size < 2_000_000):
                 text = texts[at]
-                ws = None if any(c in text for c in _ODD) else text.split()
-                split.append((text, ws))
-                if ws is not None:
-                    missing.update(ws)
+                pieces = split(text)
+                group.append((text, pieces))
+                if pieces:
+                    seen.update(pieces)
                 size += len(text)
                 at += 1
-            missing.difference_update(young)
+            missing = seen.difference(self.number)
             if missing:
                 self._learn(missing)
-            out.extend(self._raw([text])[0] if ws is None else b"".join(map(young.__getitem__, ws)) for text, ws in split)
+            out.extend(self._raw(text) if pieces is None else self._gather(pieces) for text, pieces in group)
         return out
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
 
@@ -234,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if with_ids:
         schema, names = schema + ", ids binary", [*names, "ids"]
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
@@ -262,7 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         for b in batches:
             out: dict = {n: [] for n in names}
             for doc, raw in zip(b["doc_id"], encode([t or "" for t in b["text"]]), strict=True):
-                ids = memoryview(raw + end)
+                ids = memoryview(np.append(raw, end).tobytes())
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     length = min(window, total - start)
