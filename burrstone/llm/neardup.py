@@ -4,16 +4,18 @@ A signature has SYMBOLS b-bit symbols (b = 64), the minima of as many hash funct
 CHUNKS * WIDTH symbols are the index: chunks of WIDTH symbols, in each of which one symbol may differ. The allowed
 errors are enumerated as the WIDTH ways to leave one symbol out; documents that agree in what is left share a key.
 By the pigeonhole principle all pairs whose signatures differ in at most 2 * CHUNKS - 1 index symbols share a key; at
-similarity 0.8 the others share one with probability above 1 - 3e-5. One bit of every symbol makes a 64-bit sketch;
-pairs whose sketches differ in more than FAR bits (similarity 0.8: fewer than one in 10**5) are not looked at. What is
-left is confirmed on the full sets.
-
-Pairs of a bucket are never listed. Equal sets are one class, only its least id takes part. In each bucket the least
-id is the pivot: every member is compared with the pivots of its buckets, and the links found are contracted to
-components. Then only members that are not in the component of their bucket's pivot, strays, are compared with the
-bucket's members of other components, so every pair that shares a key is either compared or already connected. A bucket
-with many strays is split by the documents' other keys (a linked pair agrees in one of those as well), so a frequent
-passage does not make a quadratic number of comparisons.
+similarity 0.8 the others share one with probability above 1 - 3e-5. Four bits of every symbol are kept apart as planes;
+pairs whose symbols differ in more than FAR places there (at similarity 0.8: fewer than one in 10**5) are not looked
+at. What is left is confirmed on the full sets.
+
+Pairs of a bucket are never listed. Equal sets are one class, only its least id takes part. The pivot of a bucket is
+its member with the most company in all its buckets, which is the middle of a group of copies; every member is compared
+with the pivots of its buckets, and the links found are contracted to components. Then only members that are not in the
+component of their bucket's pivot, strays, are compared with the bucket's members of other components, so every pair
+that shares a key is either compared or already connected. Jaccard distance is a metric, so two members whose distances
+from the pivot differ by more than a link's are passed over without a look at their sets. A bucket in which strays and
+members would still make very many pairs is split by the documents' other keys (a linked pair agrees in one of those as
+well).
 
 Cases: a document without words or with null text has no shingles and is linked with nothing; one with fewer words
 than a shingle has its whole sequence as its only shingle; a null id is never linked, its component is null and it is
@@ -36,10 +38,10 @@ from burrstone.session import cut
 from . import common
 
 SYMBOLS, CHUNKS, WIDTH = 64, 8, 5
-#: Bits in which the sketches of a pair may differ.
-FAR = 20
+#: Bits kept of each symbol, and symbols in which those of a pair may differ.
+PLANES, FAR = 4, 27
 #: A bucket in which strays and members make more pairs than this is split by the documents' other keys.
-BUCKET_PAIRS = 200_000
+BUCKET_PAIRS = 2_000_000
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
 #: Bits of the map of wanted ids.
@@ -97,12 +99,14 @@ def index_keys(sigs: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
-def sketches(sigs: np.ndarray) -> np.ndarray:
-    return np.packbits((sigs & np.uint64(1)).astype(np.uint8), axis=1).view(">i8").ravel().astype(np.int64)
+def planes(sigs: np.ndarray) -> np.ndarray:
+    """PLANES longs of each signature: plane k has bit k of every symbol."""
+    bits = [np.packbits(((sigs >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(">i8").ravel() for k in range(PLANES)]
+    return np.stack(bits, axis=1).astype(np.int64)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, set_hi, set_lo, keys, sketch of every row. No text leaves its task."""
+    """doc_id, n, set_hi, set_lo, keys, planes of every row. No text leaves its task."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         shingler = Shingler(size)
@@ -111,16 +115,16 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             keys: list = [[]] * len(sets)
-            sketch = np.zeros(len(sets), np.int64)
+            bits = np.zeros((len(sets), PLANES), np.int64)
             full = np.flatnonzero(n)
             if len(full):
                 sigs = np.stack([signature(sets[i]) for i in full])
-                sketch[full] = sketches(sigs)
+                bits[full] = planes(sigs)
                 for i, k in zip(full.tolist(), index_keys(sigs).view(np.int64), strict=True):
                     keys[i] = k
-            yield {"doc_id": b["doc_id"], "n": n, "set_hi": ids[:, 0], "set_lo": ids[:, 1], "keys": keys, "sketch": sketch}
+            yield {"doc_id": b["doc_id"], "n": n, "set_hi": ids[:, 0], "set_lo": ids[:, 1], "keys": keys} | {f"p{k}": bits[:, k] for k in range(PLANES)}
 
-    return common.arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, sketch long")
+    return common.arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, " + ", ".join(f"p{k} long" for k in range(PLANES)))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -153,9 +157,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted, "id", "left_semi").dropDuplicates(["id", "which"]).select("id", "shingles")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. A set goes once to each pivot of its document, and a pivot's set
-    once to each block of its members, so a large group is many small ones."""
+#: Columns that say how similar two documents can be.
+_FACTS = ["n", *[f"p{k}" for k in range(PLANES)]]
+
+
+def _scored(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """pivot, id, common, total: sizes of intersection and union of the full sets of each pair. A set goes once to each
+    pivot of its document, and a pivot's set once to each block of its members, so a large group is many small ones."""
     pairs = cut(pairs)
     wanted = cut(pairs.select("id").union(pairs.select("pivot")).distinct())
     sets = cut(shingle_sets(docs, wanted, size))
@@ -166,63 +174,80 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
         "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("shingles").alias("of_pivot")
     )
     both = F.size(F.array_intersect("shingles", "of_pivot"))
-    return (
-        left.join(right, ["pivot", "block"]).select("pivot", "id", both.alias("i"), (F.size("shingles") + F.size("of_pivot")).alias("s"))
-        .where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("pivot", "id").distinct()
-    )
+    joined = left.join(right, ["pivot", "block"]).select("pivot", "id", both.alias("common"), (F.size("shingles") + F.size("of_pivot")).alias("sum"))
+    scored = joined.select("pivot", "id", "common", (F.col("sum") - F.col("common")).alias("total"))
+    # An id with several texts has several sets: its nearest counts.
+    return scored.groupBy("pivot", "id").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("s"), "common", "total")).alias("b")).select("pivot", "id", "b.common", "b.total")
 
 
-def _near(percent: int):
-    """Whether a pair (n, sketch) and (pn, psketch) can be similar enough by sizes and sketches."""
-    return (
-        (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-        & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("psketch"))) <= FAR)
-    )
+def _links(scored: DataFrame, percent: int) -> DataFrame:
+    return scored.where(F.col("common") * 100 >= F.col("total") * percent).select("pivot", "id")
+
+
+def _near(percent: int, a: str = "", b: str = "o_"):
+    """Whether a pair can be similar enough by sizes and signatures; its facts have the prefixes a and b."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))
+    for k in range(1, PLANES):
+        differ = differ.bitwiseOR(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}")))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.bit_count(differ) <= FAR)
 
 
 def _shared(reps: DataFrame) -> DataFrame:
-    """key, id, pivot: the members of buckets with several members. Only keys and ids are shuffled for it, and the
-    count of a bucket is summed before the shuffle, so a bucket that holds a third of all documents is no large group."""
+    """key, id, pivot: the members of buckets with several members. Only keys and ids are shuffled for it, and buckets
+    are counted before the shuffle, so one that holds a third of all documents is no large group."""
     rows = reps.select(F.explode("keys").alias("key"), "id")
-    pivots = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    return rows.join(pivots, "key")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    held = cut(rows.join(counts.select("key", "members"), "key"))
+    company = held.groupBy("id").agg(F.sum("members").alias("company"))
+    pivots = held.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("p"))
+    return held.select("key", "id").join(pivots.select("key", (-F.col("p.minus")).alias("pivot")), "key")
 
 
 def _star_pairs(shared: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """(pivot, id) for members that can be similar to the pivot of a bucket they are in."""
     pairs = shared.where("id <> pivot").select("pivot", "id").distinct()
-    of_pivot = facts.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"))
+    of_pivot = facts.select(F.col("id").alias("pivot"), *[F.col(c).alias(f"o_{c}") for c in _FACTS])
     return pairs.join(facts, "id").join(of_pivot, "pivot").where(_near(percent)).select("pivot", "id")
 
 
-def _stray_pairs(shared: DataFrame, facts: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id): members that are not in the component of their bucket's pivot, with members of other components."""
-    of = facts.join(comp, "id", "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+def _stray_pairs(shared: DataFrame, facts: DataFrame, reps: DataFrame, comp: DataFrame, scored: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id): members that are not in the component of their bucket's pivot, with members of other components.
+
+    A pair is made by the least key that its members share only."""
+    of = facts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lead = comp.select(F.col("id").alias("pivot"), F.col("component").alias("lead"))
-    marked = (
+    marked = cut(
         shared.join(of, "id").join(lead, "pivot", "left")
-        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).select("key", "id", "n", "sketch", "component", "stray")
+        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).drop("lead")
     )
-    marked = cut(marked)
     mixed = marked.groupBy("key").agg((F.count_if("stray") * F.count(F.lit(1))).alias("pairs")).where("pairs > 0")
-    held = marked.join(mixed, "key")
-
-    def across(rows: DataFrame) -> DataFrame:
-        a = rows.where("stray").select("key", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sketch").alias("psketch"), F.col("component").alias("pc"))
-        b = rows.select("key", "id", "n", "sketch", "component")
-        return (
-            a.join(b, (a["key"] == b["key"]) & (a["pc"] != b["component"]) & _near(percent))
-            .select(F.greatest("pivot", "id").alias("id"), F.least("pivot", "id").alias("pivot"))
+    away = scored.select("pivot", "id", (1 - F.col("common") / F.col("total")).alias("away"))
+    held = (
+        marked.join(mixed, "key").join(away, ["pivot", "id"], "left").join(reps.select("id", "keys"), "id")
+        .withColumn("away", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("away")))
+    )
+    held = cut(held)
+    columns = ["key", "id", "pivot", "away", "component", "keys", *_FACTS]
+    reach = 1 - percent / 100 + 1e-9
+
+    def across(rows: DataFrame, first) -> DataFrame:
+        a = rows.where("stray").select(*[F.col(c).alias(f"o_{c}") for c in columns])
+        b = rows.select(*columns)
+        same = F.col("o_pivot") == F.col("pivot")
+        out_of_reach = same & (F.abs(F.col("away") - F.col("o_away")) > reach)
+        return a.join(b, (F.col("o_key") == F.col("key")) & (F.col("o_component") != F.col("component")) & _near(percent) & ~F.coalesce(out_of_reach, F.lit(False)) & first).select(
+            F.greatest("o_id", "id").alias("id"), F.least("o_id", "id").alias("pivot")
         )
 
-    light = across(held.where(F.col("pairs") <= BUCKET_PAIRS))
+    least_shared = F.array_min(F.array_intersect("keys", "o_keys")) == F.col("key")
+    light = across(held.where(F.col("pairs") <= BUCKET_PAIRS), least_shared)
     # A heavy bucket is split by every other key of its members: key and other key together make the new key.
     split = (
-        held.where(F.col("pairs") > BUCKET_PAIRS).drop("pairs").join(reps.select("id", "keys"), "id")
-        .select("key", "id", "n", "sketch", "component", "stray", F.explode("keys").alias("other")).where("other <> key")
+        held.where(F.col("pairs") > BUCKET_PAIRS).withColumn("other", F.explode("keys")).where("other <> key")
         .withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other")
     )
-    return light.unionByName(across(split)).select("pivot", "id").distinct()
+    return light.unionByName(across(split, F.lit(True))).select("pivot", "id").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -231,14 +256,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     sig = cut(signatures(docs, size))
     # One representative for each class of equal sets; equal sets have equal keys.
     classes = sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_hi", "set_lo").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in (*_FACTS, "keys")]
     )
     reps = cut(classes)
-    facts = reps.select("id", "n", "sketch")
+    facts = reps.select("id", *_FACTS)
     shared = cut(_shared(reps))
-    links = cut(_confirmed(_star_pairs(shared, facts, percent), docs, size, percent))
+    scored = cut(_scored(_star_pairs(shared, facts, percent), docs, size))
+    links = _links(scored, percent)
     comp = cut(components(links, "pivot", "id"))
-    more = cut(_confirmed(_stray_pairs(shared, facts, reps, comp, percent), docs, size, percent))
+    more = cut(_links(_scored(_stray_pairs(shared, facts, reps, comp, scored, percent), docs, size), percent))
     comp = cut(components(links.unionByName(more), "pivot", "id"))
     member = reps.select("set_hi", "set_lo", "id").join(comp, "id", "left").select(
         F.col("set_hi").alias("__hi"), F.col("set_lo").alias("__lo"), F.coalesce("component", "id").alias("__component")
