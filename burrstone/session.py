@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,17 @@ def get_session(app: str = "burrstone", master: str | None = None) -> SparkSessi
     )
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package from wherever the driver was started; on a cluster the package is installed
+    or shipped, and a path that does not exist there does no harm."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,7 +12,7 @@ os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 def spark():
     from burrstone.session import get_session
 
-    s = get_session("tests", "local[4]")
+    s = get_session("tests", "local[3]")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
