@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing.
 
-Each of TABLES tables hashes a vector by floor((a . x + b) / W) for several Gaussian-stable directions a; directions
+Vectors are lifted onto a sphere of one more dimension, so that the largest inner product is the smallest angle. Each of
+TABLES tables hashes a lifted vector by floor((a . x + b) / W) for several Gaussian-stable directions a; directions
 of a table, and of as many tables as fit, are rows of one random rotation, so they tell different things. W and b are
 set so that the two cells beside the median of each direction hold nearly all vectors. A query does not look into its
 own bucket alone: given how far neighbours lie (fitted on a sample), the chance that one falls into a bucket is the
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TABLES, TARGET = 8, 0.92
-#: Vectors of the sample, and queries drawn from it to see how far neighbours lie.
-SAMPLE, SAMPLE_QUERIES = 4096, 256
+#: Vectors of the sample that shows how far neighbours lie, and the factor by which they are taken to lie farther.
+SAMPLE, SAFE = 4096, 0.95
 #: Vectors in a bucket, about; and most directions of a table.
 IN_BUCKET, MOST_BITS = 6, 14
 #: Vectors and queries of a group.
@@ -46,29 +47,55 @@ CELL = 4.0
 
 @dataclass
 class Index:
-    """Directions, offsets and cell width of every table, and the correlation of a neighbour with its query."""
+    """Directions, offsets and cell width of every table, and the sample that tells how far a query's neighbours lie."""
 
-    dims: int
+    dims: int  # of the vectors; directions have one more
+    largest: float  # norm of any vector
     bits: int
     directions: np.ndarray  # (tables, dims, bits)
     offsets: np.ndarray  # (tables, bits)
     width: np.ndarray  # (tables, bits)
-    spread: float  # of the part of a neighbour that the query does not tell, along a direction
-    rho: float
+    sample: np.ndarray  # lifted
+    sample_ids: np.ndarray
+    rank: int  # of the neighbour in the sample that stands for the k-th among all
     region_bits: int
 
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        """Vectors on the unit sphere of one more dimension, where nearest by angle is largest by inner product."""
+        y = x / self.largest
+        return np.append(y, np.sqrt(np.maximum(0.0, 1 - (y * y).sum(1)))[:, None], axis=1)
+
+    @staticmethod
+    def lifted_query(q: np.ndarray) -> np.ndarray:
+        return np.append(q / np.linalg.norm(q), 0.0)
+
     def cells(self, x: np.ndarray, table: int) -> np.ndarray:
         """0 or 1 for each direction: rare outer cells are joined to the nearer of the two about the median."""
         h = np.floor((x @ self.directions[table] + self.offsets[table]) / self.width[table])
         return np.clip(h, -1, 0).astype(np.int64) + 1
 
     def codes(self, x: np.ndarray, table: int) -> np.ndarray:
-        return self.cells(x, table) @ (1 << np.arange(self.bits, dtype=np.int64)[::-1])
-
-    def probes(self, q: np.ndarray, table: int) -> np.ndarray:
-        """Codes in falling order of the chance that a neighbour is there, up to the table's share of TARGET."""
-        at = self.rho * (q @ self.directions[table]) + self.offsets[table]
-        up = np.array([0.5 * math.erfc(-v / (self.spread * math.sqrt(2))) for v in at])
+        return self.cells(self.lifted(x), table) @ (1 << np.arange(self.bits, dtype=np.int64)[::-1])
+
+    def nearness(self, q: np.ndarray, own_id: int) -> float:
+        """The similarity of a k-th neighbour of a query, a little less to be safe: that of the same rank in the sample,
+        or of the nearest there if the sample is too thin. Dense groups and lonely queries each have their own."""
+        s = self.sample @ self.lifted_query(q)
+        s = s[self.sample_ids != own_id]
+        if not len(s):
+            return 0.05
+        rank = min(self.rank, len(s))
+        return float(np.clip(SAFE * np.partition(s, len(s) - rank)[len(s) - rank], 0.05, 0.999))
+
+    def probes(self, q: np.ndarray, table: int, rho: float) -> np.ndarray:
+        """Codes in falling order of the chance that a neighbour of similarity rho is there, up to the table's share of
+        TARGET. Beside the query's direction a neighbour is like any other vector: around their mean, with the rest of
+        its length spread evenly."""
+        of, mean = self.lifted_query(q), self.sample.mean(0)
+        aside = mean - (mean @ of) * of
+        spread = math.sqrt(max(1e-6, 1 - rho * rho - aside @ aside))
+        at = (rho * of + aside) @ self.directions[table] + self.offsets[table]
+        up = np.array([0.5 * math.erfc(-v / (spread * math.sqrt(2))) for v in at])
         chance = np.ones(1)
         for p in up:
             chance = np.stack([chance * (1 - p), chance * p], axis=1).ravel()
@@ -79,33 +106,28 @@ class Index:
 
 def fit(vectors: DataFrame, k: int) -> Index | None:
     """An index fitted on a sample of SAMPLE vectors by a hash of the id, and the number of vectors."""
-    drawn = [np.array(r["v"], float) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").collect()
+    drawn = [np.array(r["v"], float) for r in rows]
     if not drawn:
         return None
     dims = Counter(len(v) for v in drawn).most_common(1)[0][0]
     s = np.stack([v for v in drawn if len(v) == dims])
-    n = vectors.where(F.size("v") == dims).count()
-    bits = max(1, min(MOST_BITS, dims, round(math.log2(max(2, n / IN_BUCKET)))))
+    ids = np.array([r["vec_id"] for r, v in zip(rows, drawn, strict=True) if len(v) == dims])
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    n, largest = vectors.where(F.size("v") == dims).agg(F.count(F.lit(1)), F.max(norm)).first()
+    bits = max(1, min(MOST_BITS, dims + 1, round(math.log2(max(2, n / IN_BUCKET)))))
     rng = np.random.default_rng(7)
     directions: list[np.ndarray] = []
     while len(directions) < TABLES:
-        rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0] * math.sqrt(dims)
-        directions += [rotation[:, i : i + bits] for i in range(0, dims - bits + 1, bits)]
+        rotation = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0] * math.sqrt(dims + 1)
+        directions += [rotation[:, i : i + bits] for i in range(0, dims + 2 - bits, bits)]
     a = np.stack(directions[:TABLES])
-    projected = np.einsum("nd,tdb->tnb", s, a)
-    width = CELL * np.maximum(projected.std(1), 1e-9)
-    # How similar a k-th neighbour among n is: for each sampled query the neighbour of the same rank in the sample (the
-    # nearest, if the sample is too thin). A low quantile over queries, so that a dense group does not speak for all.
-    norms = np.maximum(np.linalg.norm(s, axis=1), 1e-300)
-    unit = s / norms[:, None]
-    cos = unit[:SAMPLE_QUERIES] @ unit.T
-    np.fill_diagonal(cos, -1.0)
-    rank = min(max(1, round(k * len(s) / max(1, n))), max(1, len(s) - 1))
-    rho = float(np.clip(np.quantile(np.sort(cos, axis=1)[:, -rank], 0.2), 0.05, 0.999))
-    # Relative to the query's own projection, a neighbour has rho of it and the rest spread along each direction.
-    spread = math.sqrt(1 - rho * rho) * float(norms.mean())
     region_bits = min(bits, max(0, math.ceil(math.log2(max(1, n / VECTORS)))))
-    return Index(dims, bits, a, -np.median(projected, axis=1), width, spread, rho, region_bits)
+    index = Index(dims, largest, bits, a, np.zeros((TABLES, bits)), np.ones((TABLES, bits)), np.zeros((0, dims + 1)), ids, max(1, round(k * len(s) / max(1, n))), region_bits)
+    index.sample = index.lifted(s)
+    projected = np.einsum("nd,tdb->tnb", index.sample, a)
+    index.width, index.offsets = CELL * np.maximum(projected.std(1), 1e-9), -np.median(projected, axis=1)
+    return index
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -124,8 +146,8 @@ def _search(pdf_q, pdf_v, k: int):
     empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     if not len(pdf_q) or not len(pdf_v):
         return empty
-    vs, qs = np.stack(pdf_v["v"].to_numpy()), np.stack(pdf_q["v"].to_numpy())
-    vid, qid = pdf_v["vec_id"].to_numpy(), pdf_q["vec_id"].to_numpy()
+    vs, qs = np.stack(pdf_v["v"].to_numpy()), np.stack(pdf_q["of"].to_numpy())
+    vid, qid = pdf_v["vec_id"].to_numpy(), pdf_q["query"].to_numpy()
     code = pdf_v["code"].to_numpy()
     order = np.argsort(code, kind="stable")
     vs, vid, code = vs[order], vid[order], code[order]
@@ -171,7 +193,7 @@ def _grouped(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         *place, F.pmod(F.xxhash64("vec_id"), F.col("vblocks")).cast("int").alias("vb"), upto("qblocks").alias("qb"), "vec_id", "code", "v"
     )
     q = queries.join(sizes, place).select(
-        *place, F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int").alias("qb"), upto("vblocks").alias("vb"), "vec_id", "codes", "v"
+        *place, F.pmod(F.xxhash64("query"), F.col("qblocks")).cast("int").alias("qb"), upto("vblocks").alias("vb"), "query", "codes", "of"
     )
     keys = [*place, "vb", "qb"]
     return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(
@@ -202,20 +224,22 @@ def nearest(spark: SparkSession, df: DataFrame, is_query, k: int = 20) -> DataFr
     def probed(batches: Iterator[dict]) -> Iterator[dict]:
         ix = sent.value
         for b in batches:
-            out: dict = {c: [] for c in ("t", "region", "vec_id", "codes", "v")}
-            for i, v in zip(b["vec_id"], b["v"], strict=True):
+            out: dict = {c: [] for c in ("t", "region", "query", "codes", "of")}
+            for i, v in zip(b["query"], b["of"], strict=True):
                 q = np.array(v, float)
+                rho = ix.nearness(q, i)
                 for t in range(len(ix.directions)):
-                    codes = ix.probes(q, t)
+                    codes = ix.probes(q, t, rho)
                     region = codes >> (ix.bits - ix.region_bits)
                     for r in np.unique(region):
                         for c, x in zip(out, (t, int(r), i, codes[region == r], v), strict=True):
                             out[c].append(x)
             yield out
 
-    asked = vectors.where(is_query(F.col("vec_id")))
+    # Names of their own, as both sides come from one table.
+    asked = vectors.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query"), F.col("v").alias("of"))
     v = common.arrow_map(vectors, hashed, "t int, region int, vec_id long, code int, v array<double>")
-    q = common.arrow_map(asked, probed, "t int, region int, vec_id long, codes array<int>, v array<double>")
+    q = common.arrow_map(asked, probed, "t int, region int, query long, codes array<int>, of array<double>")
 
     def best(found: DataFrame) -> DataFrame:
         once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -224,11 +248,11 @@ def nearest(spark: SparkSession, df: DataFrame, is_query, k: int = 20) -> DataFr
 
     first = cut(best(_grouped(q, v, k)))
     enough = first.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    short = cut(asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti"))
+    short = cut(asked.join(enough, asked["query"] == enough["query_id"], "left_anti"))
     if not short.count():
         return first
     # The exact way for queries that found too few: every block of vectors.
     every = vectors.select(F.lit(-1).alias("t"), F.lit(0).alias("region"), "vec_id", F.lit(0).alias("code"), "v")
-    lonely = short.select(F.lit(-1).alias("t"), F.lit(0).alias("region"), "vec_id", F.lit(None).cast("array<int>").alias("codes"), "v")
+    lonely = short.select(F.lit(-1).alias("t"), F.lit(0).alias("region"), "query", F.lit(None).cast("array<int>").alias("codes"), "of")
     again = best(_grouped(lonely, every, k))
     return first.join(enough, "query_id", "left_semi").select(*again.columns).unionByName(again)

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burrstone.session import ensure_importable
+
 #: Fixed value: the white space of the word and line rules, \x20 and \x09 to \x0D.
 SPACE = " \t\n\x0b\x0c\r"
 #: Fixed rule: only A-Z are lower-cased.
@@ -19,7 +21,8 @@ ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
+    """Bound the Arrow batches of this session, and let its workers find this package."""
+    ensure_importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -33,6 +36,7 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], s
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ensure_importable(df.sparkSession)
     # The schema string is parsed on the driver; executors get the Arrow schema.
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 

@@ -30,7 +30,7 @@ from . import common
 #: Filters and their list of wrong members are broadcast up to this size.
 SENT_BYTES = 64 << 20
 #: Keys that a task counts before it hands them on.
-COUNTED = 300_000
+COUNTED = 100_000
 #: Members in a shard of the filters, about.
 SHARD_KEYS = 1 << 18
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens of a chunk, about; and words whose hashes a task remembers.
-CHUNK_TOKENS, REMEMBERED = 2_000_000, 300_000
+CHUNK_TOKENS, REMEMBERED = 2_000_000, 150_000
 #: Fixed hashes of the end token and of the context before the first word.
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 #: Buckets of context counts (powers of two) and steps to a unit of the logarithm of the ratio of the estimates.
@@ -89,9 +89,10 @@ class Chunk:
         return keys[order], counts[order], place[self.codes], place[context], place[v + 1 + pair]
 
 
-def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Cut a partition (doc_id, kind, text) into chunks of one kind each. Rows of a kind are cut alike whatever rows of
-    other kinds stand between them, so a scan that leaves those out gives the same chunks."""
+def chunks_of(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] = (TRAIN, TUNE, TEST)) -> Iterator[Chunk]:
+    """Cut a partition (doc_id, kind, text) into chunks of one of the kinds each. Rows of a kind are cut alike whatever
+    rows of other kinds stand between them, so a scan that passes those over gives the same chunks. They are passed over
+    here and not by a filter, which Catalyst would push below a shuffle of the input and so change its partitions."""
     import pandas as pd
     from pyspark import TaskContext
 
@@ -106,6 +107,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         return Chunk(base + (kind << 28) + made[kind], kind, ids, sizes, codes, vocab)
 
     for b in batches:
+        b = b.filter(pa.array(np.isin(b.column(1).to_numpy(zero_copy_only=False), kinds)))
         for doc, kind, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             held = open_.setdefault(kind, [[], [], 0])
             t = token_hashes(text, known)
@@ -228,14 +230,14 @@ def _with_documents(rows: DataFrame, totals: DataFrame, kinds: list[int]) -> Dat
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
-        for c in chunks_of(batches):
+        for c in chunks_of(batches, tuple(kinds)):
             # Codes are given in order of appearance, so frequent words have small ones: low bytes apart compress well.
             width = 3 if len(c.vocab) < 1 << 24 else 4
             planes = c.codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
             raw = pickle.dumps((c.ids, c.sizes, c.vocab, width, planes), protocol=5)
             yield _rows([(c.number, c.kind, -1, None, None, pack.compress(raw))], held)
 
-    packed = rows.where(F.col("kind").isin(kinds)).mapInArrow(documents, _HELD)
+    packed = rows.mapInArrow(documents, _HELD)
     given = totals.where(F.col("kind").isin(kinds)).select("chunk", "kind", "bucket", "counted", "tuned", F.lit(None).cast("binary").alias("documents"))
     return packed.unionByName(given)
 
@@ -339,7 +341,8 @@ def score_rows(spark: SparkSession, docs: DataFrame, folds: int = 7, test_fold:
 
     at = common.fold("doc_id", folds)
     kind = F.when(at == test_fold, TEST).when(at == tune_fold, TUNE).otherwise(TRAIN)
-    # The two kinds of columns: fold membership is decided once, texts are read twice or more but never shuffled raw.
+    # Texts are read three times and never shuffled raw; reading them again must give the same rows in the same
+    # partitions, as files and checkpointed tables do.
     rows = docs.select("doc_id", kind.alias("kind"), "text")
     buckets = max(8, rows.rdd.getNumPartitions())
     totals = cut(gram_totals(rows, buckets))
