@@ -5,13 +5,14 @@ CHUNKS * WIDTH symbols are the index: chunks of WIDTH symbols, in each of which
 errors are enumerated as the WIDTH ways to leave one symbol out; documents that agree in what is left share a key.
 By the pigeonhole principle all pairs whose signatures differ in at most 2 * CHUNKS - 1 index symbols share a key; at
 similarity 0.8 the others share one with probability above 1 - 3e-5. Four bits of every symbol are kept apart as planes;
-pairs whose symbols differ in more than FAR places there (at similarity 0.8: fewer than one in 10**5) are not looked
+pairs whose symbols differ in more than FAR places there (at similarity 0.8: fewer than one in 10**5, as the normal tail has it) are not looked
 at. What is left is confirmed on the full sets.
 
 Pairs of a bucket are never listed. Equal sets are one class, only its least id takes part. The pivot of a bucket is
 its member with the most company in all its buckets, which is the middle of a group of copies; every member is compared
-with the pivots of its buckets, and the links found are contracted to components. Then only members that are not in the
-component of their bucket's pivot, strays, are compared with the bucket's members of other components, so every pair
+with the pivots of its buckets, and the links found are contracted to components. Members that are not in the component
+of their bucket's pivot are strays; the middle of a bucket's strays is its next pivot, and so on for MORE_STARS rounds,
+each as long as the bucket. Then only the strays that are left are compared with the bucket's members of other components, so every pair
 that shares a key is either compared or already connected. Jaccard distance is a metric, so two members whose distances
 from the pivot differ by more than a link's are passed over without a look at their sets. A bucket in which strays and
 members would still make very many pairs is split by the documents' other keys (a linked pair agrees in one of those as
@@ -37,13 +38,15 @@ from burrstone.session import cut
 
 from . import common
 
-SYMBOLS, CHUNKS, WIDTH = 64, 8, 5
-#: Bits kept of each symbol, and symbols in which those of a pair may differ.
-PLANES, FAR = 4, 27
+SYMBOLS, CHUNKS, WIDTH = 128, 8, 5
+#: Bits kept of each symbol, the longs that hold them, and symbols in which those of a pair may differ.
+BITS, PLANES, FAR = 4, 4 * SYMBOLS // 64, 44
 #: A bucket in which strays and members make more pairs than this is split by the documents' other keys.
 BUCKET_PAIRS = 2_000_000
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
+#: Further rounds of stars, around the middle of each bucket's strays, before strays are compared with all others.
+MORE_STARS = 1
 #: Bits of the map of wanted ids.
 MARKS = 1 << 22
 #: Words whose hashes a task remembers.
@@ -100,9 +103,9 @@ def index_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def planes(sigs: np.ndarray) -> np.ndarray:
-    """PLANES longs of each signature: plane k has bit k of every symbol."""
-    bits = [np.packbits(((sigs >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(">i8").ravel() for k in range(PLANES)]
-    return np.stack(bits, axis=1).astype(np.int64)
+    """PLANES longs of each signature: for each 64 symbols, BITS longs with one bit of every symbol."""
+    bits = [np.packbits(((sigs >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(">i8") for k in range(BITS)]
+    return np.stack(bits, axis=2).reshape(len(sigs), PLANES).astype(np.int64)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -187,21 +190,46 @@ def _links(scored: DataFrame, percent: int) -> DataFrame:
 def _near(percent: int, a: str = "", b: str = "o_"):
     """Whether a pair can be similar enough by sizes and signatures; its facts have the prefixes a and b."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))
-    for k in range(1, PLANES):
-        differ = differ.bitwiseOR(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}")))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.bit_count(differ) <= FAR)
+    differ = F.lit(0)
+    for start in range(0, PLANES, BITS):
+        any_bit = F.lit(0).cast("long")
+        for k in range(start, start + BITS):
+            any_bit = any_bit.bitwiseOR(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}")))
+        differ = differ + F.bit_count(any_bit)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= FAR)
 
 
 def _shared(reps: DataFrame) -> DataFrame:
-    """key, id, pivot: the members of buckets with several members. Only keys and ids are shuffled for it, and buckets
+    """key, id, company, pivot: the members of buckets with several members. Only keys and ids are shuffled for it, and buckets
     are counted before the shuffle, so one that holds a third of all documents is no large group."""
     rows = reps.select(F.explode("keys").alias("key"), "id")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     held = cut(rows.join(counts.select("key", "members"), "key"))
     company = held.groupBy("id").agg(F.sum("members").alias("company"))
-    pivots = held.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("p"))
-    return held.select("key", "id").join(pivots.select("key", (-F.col("p.minus")).alias("pivot")), "key")
+    members = held.select("key", "id").join(company, "id")
+    return members.join(_middles(members), "key")
+
+
+def _middles(members: DataFrame) -> DataFrame:
+    """key, pivot: of each key the member with the most company, the least id of those."""
+    best = members.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("p"))
+    return best.select("key", (-F.col("p.minus")).alias("pivot"))
+
+
+def _strays(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """shared with component and stray: whether a member is in another component than its bucket's pivot."""
+    lead = comp.select(F.col("id").alias("pivot"), F.col("component").alias("lead"))
+    return (
+        shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).join(lead, "pivot", "left")
+        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).drop("lead")
+    )
+
+
+def _next_stars(marked: DataFrame) -> DataFrame:
+    """key, id, pivot: members with the middle of their bucket's strays, where the two are in different components."""
+    pivots = _middles(marked.where("stray"))
+    of = marked.select("key", F.col("id").alias("pivot"), F.col("component").alias("theirs"))
+    return marked.select("key", "id", "component").join(pivots.join(of, ["key", "pivot"]), "key").where("component <> theirs").select("key", "id", "pivot")
 
 
 def _star_pairs(shared: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -211,20 +239,15 @@ def _star_pairs(shared: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(facts, "id").join(of_pivot, "pivot").where(_near(percent)).select("pivot", "id")
 
 
-def _stray_pairs(shared: DataFrame, facts: DataFrame, reps: DataFrame, comp: DataFrame, scored: DataFrame, percent: int) -> DataFrame:
+def _stray_pairs(shared: DataFrame, reps: DataFrame, comp: DataFrame, scored: DataFrame, percent: int) -> DataFrame:
     """(pivot, id): members that are not in the component of their bucket's pivot, with members of other components.
 
     A pair is made by the least key that its members share only."""
-    of = facts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lead = comp.select(F.col("id").alias("pivot"), F.col("component").alias("lead"))
-    marked = cut(
-        shared.join(of, "id").join(lead, "pivot", "left")
-        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).drop("lead")
-    )
+    marked = _strays(shared, comp)
     mixed = marked.groupBy("key").agg((F.count_if("stray") * F.count(F.lit(1))).alias("pairs")).where("pairs > 0")
     away = scored.select("pivot", "id", (1 - F.col("common") / F.col("total")).alias("away"))
     held = (
-        marked.join(mixed, "key").join(away, ["pivot", "id"], "left").join(reps.select("id", "keys"), "id")
+        marked.join(mixed, "key").join(away, ["pivot", "id"], "left").join(reps.select("id", "keys", *_FACTS), "id")
         .withColumn("away", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("away")))
     )
     held = cut(held)
@@ -262,9 +285,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     facts = reps.select("id", *_FACTS)
     shared = cut(_shared(reps))
     scored = cut(_scored(_star_pairs(shared, facts, percent), docs, size))
-    links = _links(scored, percent)
+    links = cut(_links(scored, percent))
     comp = cut(components(links, "pivot", "id"))
-    more = cut(_links(_scored(_stray_pairs(shared, facts, reps, comp, scored, percent), docs, size), percent))
+    for _ in range(MORE_STARS):
+        marked = cut(_strays(shared, comp))
+        if marked.where("stray").isEmpty():
+            break
+        more = cut(_links(_scored(_star_pairs(_next_stars(marked), facts, percent), docs, size), percent))
+        links = links.unionByName(more)
+        comp = cut(components(links, "pivot", "id"))
+    more = cut(_links(_scored(_stray_pairs(shared, reps, comp, scored, percent), docs, size), percent))
     comp = cut(components(links.unionByName(more), "pivot", "id"))
     member = reps.select("set_hi", "set_lo", "id").join(comp, "id", "left").select(
         F.col("set_hi").alias("__hi"), F.col("set_lo").alias("__lo"), F.coalesce("component", "id").alias("__component")
