@@ -176,7 +176,9 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_cases(spark):
-    bad, good = ["plain words here nasty%d stinker word" % i for i in range(60)], ["plain words here nice%d word row" % i for i in range(200)]
+    rng = random.Random(1)
+    some = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(n))
+    bad, good = [f"{some(6)} stinker {some(6)}" for _ in range(60)], [some(13) for _ in range(200)]
     rows = [(i, t) for i, t in enumerate(bad + good)]
     docs = spark.createDataFrame(rows + [(1000, None), (1001, ""), (None, "stinker"), (1002, "stinker " * 50), (1002, "stinker " * 50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(rows))] + [(None, 1), (5, 0), (7, None)], "doc_id long, toxic int")
