@@ -46,7 +46,7 @@ BUCKET_PAIRS = 2_000_000
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
 #: Further rounds of stars, around the middle of each bucket's strays, before strays are compared with all others.
-MORE_STARS = 1
+MORE_STARS = 0
 #: Bits of the map of wanted ids.
 MARKS = 1 << 22
 #: Words whose hashes a task remembers.
