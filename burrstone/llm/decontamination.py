@@ -2,9 +2,10 @@
 
 Every word n-gram of a test item is a possible seed. One scan of the documents finds where they occur, lines the hits
 up with the item, and gives a window of the document for each place; how many documents hold each n-gram comes from
-the same windows. A seed is rare if few documents hold it, or if it is among the rarest of its item, so that an item
-whose passage was copied very often keeps seeds. Windows with a rare seed are aligned with the item, word by word, by
-Smith-Waterman (match 2, mismatch -1, gap -1); the score is a share of the item's own. Edited copies lose some seeds
+the same windows. A seed is rare if few documents hold it, or if it is among the rarest that its window holds, so that
+every window has one, however often its passage was copied and whatever seeds the copies lost. Windows are aligned with
+the item, word by word, by Smith-Waterman (match 2, mismatch -1, gap -1); the score is a share of the item's own. Only
+windows with too few of the item's words to reach the bar by any alignment are left out. Edited copies lose some seeds
 and some score, not all.
 
 Test items go to the tasks in blocks of at most BLOCK_GRAMS n-grams, each block one scan; documents are never broadcast
@@ -30,8 +31,8 @@ from burrstone.session import cut
 
 from . import common
 
-#: Words of a seed; a seed in at most this share of all documents is rare, and so is this share of an item's seeds.
-SEED, RARE_DOCS, RARE_OF_ITEM = 3, 0.0005, 1 / 3
+#: Words of a seed; a seed in at most this share of all documents is rare, and so is this share of a window's own.
+SEED, RARE_DOCS, RARE_OF_WINDOW = 3, 0.0005, 1 / 3
 #: Smith-Waterman scores, and the share of an item's own score from which a document is contaminated.
 MATCH, MISMATCH, GAP, BAR = 2, -1, -1, 0.45
 #: N-grams of test items that a scan looks for at once.
@@ -134,6 +135,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
+def most(item: np.ndarray, text: np.ndarray) -> int:
+    """A score that no alignment of the two exceeds: each match takes a word of either that the other has too."""
+    return MATCH * int(min(np.isin(item, text).sum(), np.isin(text, item).sum()))
+
+
 def _found(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
     """row_key, doc_id, item_id, score, start, end, seeds of the documents that hold an item of a block."""
     sent = spark.sparkContext.broadcast(items)
@@ -162,25 +168,18 @@ def _found(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
     df = np.zeros(len(items.keys), np.int64)
     for r in held:
         df[r["key"]] = r["count"]
-    rare = df <= RARE_DOCS * n
-    owner: dict[int, list[int]] = defaultdict(list)
-    for key in range(len(items.keys)):
-        for j in range(items.starts[key], items.ends[key]):
-            owner[int(items.item[j])].append(key)
-    for keys in owner.values():
-        keys = sorted(set(keys), key=lambda k: (df[k], k))
-        rare[keys[: max(1, int(np.ceil(len(keys) * RARE_OF_ITEM)))]] = True
-    rare_sent = spark.sparkContext.broadcast(rare)
+    df_sent = spark.sparkContext.broadcast(df)
 
     def score(batches: Iterator[dict]) -> Iterator[dict]:
-        block, good = sent.value, rare_sent.value
+        block, held_by = sent.value, df_sent.value
         for b in batches:
             out: dict = {k: [] for k in ("row_key", "doc_id", "item_id", "score", "start", "stop", "seeds")}
             for row, doc, item, start, keys, window in zip(*(b[k] for k in ("row_key", "doc_id", "item", "start", "keys", "window")), strict=True):
-                seeds = int(good[keys].sum())
-                if not seeds:
+                seeds = max(int((held_by[keys] <= RARE_DOCS * n).sum()), int(np.ceil(len(keys) * RARE_OF_WINDOW)))
+                text = np.frombuffer(window, np.uint64)
+                if most(block.words[item], text) / (MATCH * block.sizes[item]) < BAR:
                     continue
-                s, a, e = align(block.words[item], np.frombuffer(window, np.uint64))
+                s, a, e = align(block.words[item], text)
                 share = s / (MATCH * block.sizes[item])
                 if share >= BAR:
                     for k, v in zip(out, (row, doc, block.ids[item], share, start + a, start + e, seeds), strict=True):

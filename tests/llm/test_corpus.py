@@ -180,6 +180,23 @@ def test_a_passage_in_most_documents_is_still_found(spark):
     assert decontamination.contaminated(spark, docs, items).count() == 60
 
 
+def test_one_edited_passage_in_most_documents_is_still_found(spark):
+    rng = random.Random(6)
+    changed, half = " ".join(w if k % 7 else "changed" for k, w in enumerate(ITEM)), " ".join(ITEM[:10])
+    for passage in (changed, half):
+        rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + " " + passage) for i in range(60)]
+        docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string")
+        got = decontamination.contaminated(spark, docs, items).collect()
+        assert len(got) == 60 and all(r["seeds"] for r in got)
+
+
+def test_no_alignment_exceeds_its_bound():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = (np.array([rng.randint(0, 6) for _ in range(rng.randint(1, 12))], np.uint64) for _ in range(2))
+        assert decontamination.align(a, b)[0] <= decontamination.most(a, b)
+
+
 def test_items_in_blocks_find_the_same(spark, sf_dir, monkeypatch):
     one = {tuple(r) for r in queries.op8_decontamination(spark, sf_dir).select("doc_id", "item_id").collect()}
     monkeypatch.setattr(decontamination, "BLOCK_GRAMS", 700)
