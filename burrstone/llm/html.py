@@ -2,8 +2,9 @@
 
 The block elements of a page form a tree. For every host one page is the reference; each page of the host is aligned
 with it by simple tree matching, and each pair of matched nodes votes on whether the texts they hold themselves are the
-same. Nodes that are the same on nearly all pages become the host's template; the others are its slots. A page is then
-aligned with its host's template: its content is the slot that holds the article, or, on pages that mark none, all that
+same; copies of a page vote once, the reference not at all. Nodes that most pages voted on and that are the same on
+nearly all of those become the host's template, on every page that has their text; the others are its slots. A page is
+then aligned with its host's template: its content is the slot that holds the article, or, on pages that mark none, all that
 is neither template nor of a kind that is never content (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments; by element, role or class). An article is one slot: inside it only those kinds go, as
 two articles may share a sentence.
@@ -16,7 +17,7 @@ Text: character references are decoded, white space inside a block becomes one s
 left out, and joined in page order by a blank line. A line break inside a block is white space.
 
 Cases: null and empty html has the empty text; a null url is a host of its own; unclosed and stray tags are read as
-browsers do for blocks; repeated rows are answered each; hosts with fewer than LEAST_PAGES pages have no template;
+browsers do for blocks; repeated rows are answered each; hosts with fewer than LEAST_PAGES distinct pages have no template;
 an empty table gives no rows; other columns are not read; pages of any length are parsed whole.
 """
 
@@ -27,13 +28,14 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages that a host needs for a template, and the share of aligned pages on which a template node is the same.
+#: Distinct pages that a host needs for a template, and the share of aligned pages on which a template node is the same.
 LEAST_PAGES, SAME_SHARE = 3, 0.8
 #: Templates are broadcast up to this size.
 SENT_BYTES = 32 << 20
@@ -207,8 +209,9 @@ class Page:
         return "\n\n".join(t for node, t in self.blocks if not self.never[node] and place.get(node) not in template)
 
 
-def match(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> list[tuple[int, int]]:
-    """Simple tree matching: pairs of nodes of a largest order-keeping match from the roots down."""
+def match(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Simple tree matching of two outlines (labels, parents and, if given, text hashes): pairs of nodes of a largest
+    order-keeping match from the roots down, and of those one with the most equal texts."""
 
     def kids(parents: list[int]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in parents]
@@ -217,38 +220,44 @@ def match(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> lis
                 out[p].append(k)
         return out
 
-    (la, pa), (lb, pb) = a, b
-    ka, kb = kids(pa), kids(pb)
-    weights: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-
-    def weight(x: int, y: int) -> int:
-        # Children come after their parents, so pairs are worked off from the last by a stack, not by recursion.
-        todo = [(x, y, False)]
-        while todo:
-            u, v, ready = todo.pop()
-            if (u, v) in weights:
-                continue
-            if la[u] != lb[v]:
-                weights[u, v] = 0
-            elif not ka[u] or not kb[v]:
-                weights[u, v] = 1
-            elif not ready:
-                todo.append((u, v, True))
-                todo.extend((i, j, False) for i in ka[u] for j in kb[v] if (i, j) not in weights)
-            else:
-                rows = [[0] * (len(kb[v]) + 1)]
-                for i in ka[u]:
-                    last, row = rows[-1], [0]
-                    for n, j in enumerate(kb[v]):
-                        row.append(max(last[n + 1], row[n], last[n] + weights[i, j]))
-                    rows.append(row)
-                tables[u, v] = rows
-                weights[u, v] = 1 + rows[-1][-1]
-        return weights[x, y]
-
-    if not la or not lb or not weight(0, 0):
+    if not a[0] or not b[0] or a[0][0] != b[0][0]:
         return []
+    ka, kb = kids(a[1]), kids(b[1])
+    number: dict[str, int] = {}
+    la, lb = (np.array([number.setdefault(x, len(number)) for x in t[0]]) for t in (a, b))
+    ha, hb = (np.array(t[2] if len(t) > 2 else [0] * len(t[0]), np.int64) for t in (a, b))
+    # A node more counts more than all equal texts.
+    node = min(len(la), len(lb)) + 1
+    weights: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], np.ndarray] = {}
+    # Children come after their parents, so pairs are worked off from the last by a stack, not by recursion.
+    todo = [(0, 0, False)]
+    while todo:
+        u, v, ready = todo.pop()
+        if (u, v) in weights:
+            continue
+        own = node + int(ha[u] == hb[v] != 0)
+        if not ka[u] or not kb[v]:
+            weights[u, v] = own
+            continue
+        left, right = ka[u], kb[v]
+        inner = [(i, j) for i, x in enumerate(left) if ka[x] for j, y in enumerate(right) if kb[y] and la[x] == lb[y]]
+        if not ready:
+            todo.append((u, v, True))
+            todo.extend((left[i], right[j], False) for i, j in inner)
+            continue
+        rows = np.zeros((len(left) + 1, len(right) + 1), np.int64)
+        deep: dict[int, list[tuple[int, int]]] = {}
+        for i, j in inner:
+            deep.setdefault(i, []).append((j, weights[left[i], right[j]]))
+        lr, hr = lb[right], hb[right]
+        for i, x in enumerate(left):
+            w = np.where(lr == la[x], node + ((hr == ha[x]) & (hr != 0)), 0)
+            for j, value in deep.get(i, ()):
+                w[j] = value
+            rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + w))
+        tables[u, v] = rows
+        weights[u, v] = own + int(rows[-1, -1])
     pairs, todo = [], [(0, 0)]
     while todo:
         u, v = todo.pop()
@@ -258,9 +267,9 @@ def match(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]]) -> lis
             continue
         i, j = len(ka[u]), len(kb[v])
         while i and j:
-            if rows[i][j] == rows[i][j - 1]:
+            if rows[i, j] == rows[i, j - 1]:
                 j -= 1
-            elif rows[i][j] == rows[i - 1][j]:
+            elif rows[i, j] == rows[i - 1, j]:
                 i -= 1
             else:
                 i, j = i - 1, j - 1
@@ -273,7 +282,7 @@ def host_of(url_col: str = "url"):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, labels, parents, same: the reference outline of each host and the numbers of its template nodes."""
+    """host, labels, parents, hashes, same: the reference outline of each host and the numbers of its template nodes."""
     from burrstone.session import cut
 
     def outlines(batches: Iterator[dict]) -> Iterator[dict]:
@@ -282,37 +291,45 @@ def templates(pages: DataFrame) -> DataFrame:
             yield {"host": b["host"], "page_id": b["page_id"], "labels": [m[0] for m in made], "parents": [m[1] for m in made], "hashes": [m[2] for m in made]}
 
     outline = "host string, page_id long, labels array<string>, parents array<int>, hashes array<long>"
-    trees = cut(common.arrow_map(pages.select("host", "page_id", "html"), outlines, outline))
+    made = common.arrow_map(pages.select("host", "page_id", "html"), outlines, outline)
+    # Pages with equal outlines are copies and count once.
+    tree = F.struct("page_id", "labels", "parents", "hashes")
+    trees = cut(made.groupBy("host", F.xxhash64("labels", "parents", "hashes").alias("key")).agg(F.min(tree).alias("t")).select("host", "key", "t.*"))
     reference = (
-        trees.groupBy("host").agg(F.min(F.struct("page_id", "labels", "parents", "hashes")).alias("r"), F.count(F.lit(1)).alias("pages"))
+        trees.groupBy("host").agg(F.min(F.struct("page_id", "key", "labels", "parents", "hashes")).alias("r"), F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= LEAST_PAGES)
-        .select("host", "pages", F.col("r.labels").alias("rl"), F.col("r.parents").alias("rp"), F.col("r.hashes").alias("rh"))
+        .select("host", "pages", F.col("r.key").alias("rk"), F.col("r.labels").alias("rl"), F.col("r.parents").alias("rp"), F.col("r.hashes").alias("rh"))
     )
 
     def votes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             seen: Counter = Counter()
             for host, labels, parents, hashes, rl, rp, rh in zip(*(b[k] for k in ("host", "labels", "parents", "hashes", "rl", "rp", "rh")), strict=True):
-                for u, v in match((rl, rp), (labels, parents)):
+                for u, v in match((rl, rp, rh), (labels, parents, hashes)):
                     if rh[u] or hashes[v]:
                         seen[host, u, rh[u] == hashes[v]] += 1
             yield {"host": [k[0] for k in seen], "node": [k[1] for k in seen], "same": [n if k[2] else 0 for k, n in seen.items()], "n": list(seen.values())}
 
-    cast = common.arrow_map(trees.join(reference.drop("pages"), "host"), votes, "host string, node int, same long, n long")
-    constant = cast.groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).where(F.col("same") >= SAME_SHARE * F.col("n"))
+    # The reference has no vote on itself.
+    others = trees.join(reference.drop("pages"), "host").where("key <> rk").drop("key", "rk")
+    cast = common.arrow_map(others, votes, "host string, node int, same long, n long")
+    summed = cast.groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).join(reference.select("host", "pages"), "host")
+    most = (F.col("n") >= LEAST_PAGES - 1) & (2 * F.col("n") > F.col("pages") - 1)
+    constant = summed.where((F.col("same") >= SAME_SHARE * F.col("n")) & most)
     # A host's nodes are at most those of one page.
     nodes = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("same"))
-    return reference.join(nodes, "host").select("host", F.col("rl").alias("labels"), F.col("rp").alias("parents"), "same")
+    return reference.join(nodes, "host").select("host", F.col("rl").alias("labels"), F.col("rp").alias("parents"), F.col("rh").alias("hashes"), "same")
 
 
 def _text(html: str | None, template: tuple | None) -> str:
     page = Page(html)
     if template is None:
         return page.text(set())
-    labels, parents, same = template
+    labels, parents, hashes, same = template
     same = set(same)
     mine = page.outline()
-    return page.text({v for u, v in match((labels, parents), mine[:2]) if u in same})
+    # A node with a text of its own in a template's place is content.
+    return page.text({v for u, v in match((labels, parents, hashes), mine) if u in same and mine[2][v] == hashes[u]})
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -321,7 +338,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
     made = cut(templates(pages))
-    size = made.agg(F.coalesce(F.sum(F.length(F.array_join("labels", " ")) + 8 * F.size("parents") + 100), F.lit(0))).first()[0]
+    size = made.agg(F.coalesce(F.sum(F.length(F.array_join("labels", " ")) + 16 * F.size("parents") + 100), F.lit(0))).first()[0]
     schema = "page_id long, url string, text string, n_chars long"
 
     def result(b: dict, of) -> dict:
@@ -329,11 +346,11 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
         return {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     if size <= SENT_BYTES:
-        sent = spark.sparkContext.broadcast({r["host"]: (list(r["labels"]), list(r["parents"]), list(r["same"])) for r in made.collect()})
+        sent = spark.sparkContext.broadcast({r["host"]: (list(r["labels"]), list(r["parents"]), list(r["hashes"]), list(r["same"])) for r in made.collect()})
         return common.arrow_map(pages, lambda batches: (result(b, [sent.value.get(h) for h in b["host"]]) for b in batches), schema)
     joined = pages.join(made, "host", "left")
     return common.arrow_map(
         joined,
-        lambda batches: (result(b, [None if x is None else (x, y, z) for x, y, z in zip(b["labels"], b["parents"], b["same"], strict=True)]) for b in batches),
+        lambda batches: (result(b, [None if x[0] is None else x for x in zip(b["labels"], b["parents"], b["hashes"], b["same"], strict=True)]) for b in batches),
         schema,
     )

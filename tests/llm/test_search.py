@@ -102,3 +102,16 @@ def test_templates_without_an_article(spark, monkeypatch, sent):
 def test_matching_keeps_order_and_is_largest():
     a, b = (["r", "p", "q", "p"], [-1, 0, 0, 0]), (["r", "p", "p", "q", "p"], [-1, 0, 0, 0, 0])
     assert len(html.match(a, b)) == 4 and html.match((["x"], [-1]), (["y"], [-1])) == []
+
+
+def test_a_template_needs_the_votes_of_most_distinct_pages(spark):
+    """Blocks that only the reference has, whole copies, and a node with a text of its own are content."""
+    page = "<body><div>Site</div><div>Welcome</div><p>{0} first</p><p>{0} second</p>{1}</body>"
+    rows = [(i, "http://long/", page.format(f"story {i}", "<p>x</p><table><tr><td>only here</td></tr></table>" if not i else "")) for i in range(6)]
+    rows += [(10 + i, "http://copies/", page.format("equal", "")) for i in range(4)]
+    rows += [(20 + i, "http://odd/", page.format(f"tale {i}", "").replace("Welcome", "Real news" if i == 9 else "Welcome")) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark, df).collect()}
+    assert got[0] == "story 0 first\n\nstory 0 second\n\nx\n\nonly here" and got[5] == "story 5 first\n\nstory 5 second"
+    assert all(got[10 + i] == "Site\n\nWelcome\n\nequal first\n\nequal second" for i in range(4))
+    assert got[20] == "tale 0 first\n\ntale 0 second" and got[29] == "Real news\n\ntale 9 first\n\ntale 9 second"
