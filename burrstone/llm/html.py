@@ -4,14 +4,14 @@ The block elements of a page form a tree. For every host one page is the referen
 with it by simple tree matching, and each pair of matched nodes votes on whether the texts they hold themselves are the
 same; copies of a page vote once, the reference not at all. Nodes that most pages voted on and that are the same on
 nearly all of those become the host's template, on every page that has their text; the others are its slots. A page is
-then aligned with its host's template: its content is the slot that holds the article, or, on pages that mark none, all that
-is neither template nor of a kind that is never content (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments; by element, role or class). An article is one slot: inside it only those kinds go, as
-two articles may share a sentence.
+then aligned with its host's template: its content is all that is neither template nor of a kind that is never content
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; by element, role or
+class), on pages that mark an article only what is in it. Inside articles nodes are aligned and voted on too, but not by
+pages whose article has most of its text in common with the reference's: those are copies or editions of one another.
 
-Only trees (labels and text hashes, article insides left out) are shuffled, summed by host before the shuffle, so a
-host with a third of all pages is no large group. Templates go to the scan of the pages if they are at most
-SENT_BYTES; otherwise pages are joined with them by host.
+Only trees (labels, text hashes and sizes) are shuffled, summed by host before the shuffle, so a host with a third of
+all pages is no large group. Templates go to the scan of the pages if they are at most SENT_BYTES; otherwise pages are
+joined with them by host.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 left out, and joined in page order by a blank line. A line break inside a block is white space.
@@ -183,30 +183,21 @@ class Page:
             stack.append((tag, len(self.labels) - 1))
         flush()
 
-    def outline(self) -> tuple[list[str], list[int], list[int]]:
-        """Labels, parents and hashes of the text that each node holds itself; articles are leaves without text."""
-        keep, place = [], {}
-        for k, parent in enumerate(self.parents):
-            if parent < 0 or not self.article[parent]:
-                place[k] = len(keep)
-                keep.append(k)
+    def outline(self) -> tuple[list[str], list[int], list[int], list[int]]:
+        """Of each node the label, the parent, the hash of the text that it holds itself, and the length of that text if
+        it is an article's content."""
         own: dict[int, list[str]] = {}
         for node, text in self.blocks:
-            if node in place and not self.article[node]:
-                own.setdefault(node, []).append(text)
-        hashes = [xxhash.xxh3_64_intdigest("\n".join(own[k])) - (1 << 63) if k in own else 0 for k in keep]
-        return [self.labels[k] for k in keep], [place.get(self.parents[k], -1) for k in keep], hashes
+            own.setdefault(node, []).append(text)
+        n = range(len(self.labels))
+        hashes = [xxhash.xxh3_64_intdigest("\n".join(own[k])) - (1 << 63) if k in own else 0 for k in n]
+        sizes = [sum(map(len, own[k])) if k in own and self.article[k] and not self.never[k] else 0 for k in n]
+        return self.labels, self.parents, hashes, sizes
 
     def text(self, template: set[int]) -> str:
-        """The blocks of the content; template has the numbers of outline nodes that are the host's template."""
-        if any(self.article[node] for node, _ in self.blocks):
-            return "\n\n".join(t for node, t in self.blocks if self.article[node] and not self.never[node])
-        order, place = 0, {}
-        for k, parent in enumerate(self.parents):
-            if parent < 0 or not self.article[parent]:
-                place[k] = order
-                order += 1
-        return "\n\n".join(t for node, t in self.blocks if not self.never[node] and place.get(node) not in template)
+        """The blocks of the content; template has the numbers of nodes that are the host's template."""
+        article = any(self.article[node] for node, _ in self.blocks)
+        return "\n\n".join(t for node, t in self.blocks if not self.never[node] and node not in template and (self.article[node] or not article))
 
 
 def match(a: tuple, b: tuple) -> list[tuple[int, int]]:
@@ -288,25 +279,28 @@ def templates(pages: DataFrame) -> DataFrame:
     def outlines(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             made = [Page(x).outline() for x in b["html"]]
-            yield {"host": b["host"], "page_id": b["page_id"], "labels": [m[0] for m in made], "parents": [m[1] for m in made], "hashes": [m[2] for m in made]}
+            yield {"host": b["host"], "page_id": b["page_id"], "labels": [m[0] for m in made], "parents": [m[1] for m in made], "hashes": [m[2] for m in made], "sizes": [m[3] for m in made]}
 
-    outline = "host string, page_id long, labels array<string>, parents array<int>, hashes array<long>"
+    outline = "host string, page_id long, labels array<string>, parents array<int>, hashes array<long>, sizes array<int>"
     made = common.arrow_map(pages.select("host", "page_id", "html"), outlines, outline)
     # Pages with equal outlines are copies and count once.
-    tree = F.struct("page_id", "labels", "parents", "hashes")
+    tree = F.struct("page_id", "labels", "parents", "hashes", "sizes")
     trees = cut(made.groupBy("host", F.xxhash64("labels", "parents", "hashes").alias("key")).agg(F.min(tree).alias("t")).select("host", "key", "t.*"))
     reference = (
-        trees.groupBy("host").agg(F.min(F.struct("page_id", "key", "labels", "parents", "hashes")).alias("r"), F.count(F.lit(1)).alias("pages"))
+        trees.groupBy("host").agg(F.min(F.struct("page_id", "key", "labels", "parents", "hashes", "sizes")).alias("r"), F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= LEAST_PAGES)
-        .select("host", "pages", F.col("r.key").alias("rk"), F.col("r.labels").alias("rl"), F.col("r.parents").alias("rp"), F.col("r.hashes").alias("rh"))
+        .select("host", "pages", F.col("r.key").alias("rk"), F.col("r.labels").alias("rl"), F.col("r.parents").alias("rp"), F.col("r.hashes").alias("rh"), F.col("r.sizes").alias("rs"))
     )
 
     def votes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             seen: Counter = Counter()
-            for host, labels, parents, hashes, rl, rp, rh in zip(*(b[k] for k in ("host", "labels", "parents", "hashes", "rl", "rp", "rh")), strict=True):
-                for u, v in match((rl, rp, rh), (labels, parents, hashes)):
-                    if rh[u] or hashes[v]:
+            for host, labels, parents, hashes, sizes, rl, rp, rh, rs in zip(*(b[k] for k in ("host", "labels", "parents", "hashes", "sizes", "rl", "rp", "rh", "rs")), strict=True):
+                pairs = match((rl, rp, rh), (labels, parents, hashes))
+                # Articles with most of their text in common are copies or editions: what they share is no template.
+                edition = 2 * sum(sizes[v] for u, v in pairs if rs[u] and rh[u] == hashes[v]) > min(sum(sizes), sum(rs))
+                for u, v in pairs:
+                    if (rh[u] or hashes[v]) and not (edition and rs[u]):
                         seen[host, u, rh[u] == hashes[v]] += 1
             yield {"host": [k[0] for k in seen], "node": [k[1] for k in seen], "same": [n if k[2] else 0 for k, n in seen.items()], "n": list(seen.values())}
 
@@ -329,7 +323,7 @@ def _text(html: str | None, template: tuple | None) -> str:
     same = set(same)
     mine = page.outline()
     # A node with a text of its own in a template's place is content.
-    return page.text({v for u, v in match((labels, parents, hashes), mine) if u in same and mine[2][v] == hashes[u]})
+    return page.text({v for u, v in match((labels, parents, hashes), mine[:3]) if u in same and mine[2][v] == hashes[u]})
 
 
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -115,3 +115,16 @@ def test_a_template_needs_the_votes_of_most_distinct_pages(spark):
     assert got[0] == "story 0 first\n\nstory 0 second\n\nx\n\nonly here" and got[5] == "story 5 first\n\nstory 5 second"
     assert all(got[10 + i] == "Site\n\nWelcome\n\nequal first\n\nequal second" for i in range(4))
     assert got[20] == "tale 0 first\n\ntale 0 second" and got[29] == "Real news\n\ntale 9 first\n\ntale 9 second"
+
+
+def test_constant_blocks_inside_articles_are_template(spark):
+    page = "<body><nav>Menu</nav><article><h1>Title {0}</h1><div>All rights with us</div>{1}<p>Read on at our shop</p></article></body>"
+    told = lambda i: [f"story {i} has a part {k} of its own, told at some length" for k in range(1 + i % 3)]
+    rows = [(i, "http://site/", page.format(i, "".join(f"<p>{t}</p>" for t in told(i)))) for i in range(8)]
+    # Editions of one article share most of their text, and all of that is content.
+    text = [f"sentence {k} of the one article that this host has" for k in range(6)]
+    rows += [(20 + i, "http://editions/", page.format(0, "".join(f"<p>{t}</p>" for t in text[:5] + [f"edition {i}"]))) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark, df).collect()}
+    assert all(got[i] == "\n\n".join([f"Title {i}", *told(i)]) for i in range(8))
+    assert got[22] == "\n\n".join(["Title 0", "All rights with us", *text[:5], "edition 2", "Read on at our shop"])
