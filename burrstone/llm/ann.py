@@ -113,6 +113,9 @@ def fit(vectors: DataFrame, k: int) -> Index | None:
     dims = Counter(len(v) for v in drawn).most_common(1)[0][0]
     s = np.stack([v for v in drawn if len(v) == dims])
     ids = np.array([r["vec_id"] for r, v in zip(rows, drawn, strict=True) if len(v) == dims])
+    # One row of each id: a repeated id is one neighbour. The rank below is a share of all rows, so of all ids too.
+    drawn_rows, once = len(s), np.sort(np.unique(ids, return_index=True)[1])
+    s, ids = s[once], ids[once]
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
     n, largest = vectors.where(F.size("v") == dims).agg(F.count(F.lit(1)), F.max(norm)).first()
     bits = max(1, min(MOST_BITS, dims + 1, round(math.log2(max(2, n / IN_BUCKET)))))
@@ -123,7 +126,7 @@ def fit(vectors: DataFrame, k: int) -> Index | None:
         directions += [rotation[:, i : i + bits] for i in range(0, dims + 2 - bits, bits)]
     a = np.stack(directions[:TABLES])
     region_bits = min(bits, max(0, math.ceil(math.log2(max(1, n / VECTORS)))))
-    index = Index(dims, largest, bits, a, np.zeros((TABLES, bits)), np.ones((TABLES, bits)), np.zeros((0, dims + 1)), ids, max(1, round(k * len(s) / max(1, n))), region_bits)
+    index = Index(dims, largest, bits, a, np.zeros((TABLES, bits)), np.ones((TABLES, bits)), np.zeros((0, dims + 1)), ids, max(1, round(k * drawn_rows / max(1, n))), region_bits)
     index.sample = index.lifted(s)
     projected = np.einsum("nd,tdb->tnb", index.sample, a)
     index.width, index.offsets = CELL * np.maximum(projected.std(1), 1e-9), -np.median(projected, axis=1)
@@ -153,6 +156,7 @@ def _search(pdf_q, pdf_v, k: int):
     vs, vid, code = vs[order], vid[order], code[order]
     buckets, starts = np.unique(code, return_index=True)
     ends = np.append(starts[1:], len(code))
+    names, name = np.unique(vid, return_inverse=True)
     out: list[tuple] = []
     for i in range(len(qs)):
         probes = pdf_q["codes"].iloc[i]
@@ -170,15 +174,19 @@ def _search(pdf_q, pdf_v, k: int):
             continue
         near = vs[rows] @ qs[i]
         near[vid[rows] == qid[i]] = -np.inf
-        if len(rows) > k:
-            bar = np.partition(near, len(near) - k)[len(near) - k]
+        top = near
+        if len(names) < len(vid):  # ids are ranked, each by the best of its rows
+            top = np.full(len(names), -np.inf)
+            np.maximum.at(top, name[rows], near)
+        if len(top) > k:
+            bar = np.partition(top, len(top) - k)[len(top) - k]
             rows = rows[near >= bar - 1e-9 * max(1.0, abs(bar))] if np.isfinite(bar) else rows
         rows = rows[vid[rows] != qid[i]]
         # Summed in one order for all, so that equal vectors have equal scores.
         score = (vs[rows] * qs[i]).sum(1)
-        best = np.lexsort((vid[rows], -score))[: 4 * k]
-        first = dict.fromkeys(zip(vid[rows][best].tolist(), score[best].tolist(), strict=True))
-        out.extend((qid[i], v, s) for v, s in list(first)[:k])
+        best = np.lexsort((vid[rows], -score))
+        best = best[np.sort(np.unique(vid[rows][best], return_index=True)[1])[:k]]
+        out.extend((qid[i], v, s) for v, s in zip(vid[rows][best].tolist(), score[best].tolist(), strict=True))
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 
 

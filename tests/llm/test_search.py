@@ -64,6 +64,28 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert sum(len({v for q2, _, v, _ in one if q2 == q} & {v for v, _ in w}) for q, w in want.items()) >= 0.9 * 10 * len(want)
 
 
+def test_repeated_ids_take_one_place_each(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = brute(list(range(120)), x, range(0, 120, 20), 20)
+    rows = [(i, e) for i, e in enumerate(x.tolist()) for _ in range(2)]
+    # An id that is repeated often, beside the first query.
+    often = (120, (2 * x[0]).tolist())
+    for table in (rows, rows + [often] * 100):
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(spark, df, lambda i: i % 20 == 0, 20).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert all(len(got[q]) == 20 for q in want)
+        if len(table) == len(rows):
+            assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+    pandas = pytest.importorskip("pandas")
+    vectors = pandas.DataFrame({"vec_id": [1] * 100 + list(range(2, 40)), "code": 0, "v": [np.array([9.0])] * 100 + [np.array([float(i)]) for i in range(-40, -2)]})
+    asked = pandas.DataFrame({"query": [0], "of": [np.array([1.0])], "codes": [None]})
+    assert ann._search(asked, vectors, 20)["vec_id"].tolist() == [1, *range(39, 20, -1)]
+
+
 def test_pages_against_a_plain_cut(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = queries.op9_html_extraction(spark, sf_dir).collect()
