@@ -14,9 +14,8 @@ with the pivots of its buckets, and the links found are contracted to components
 of their bucket's pivot are strays; the middle of a bucket's strays is its next pivot, and so on for MORE_STARS rounds,
 each as long as the bucket. Then only the strays that are left are compared with the bucket's members of other components, so every pair
 that shares a key is either compared or already connected. Jaccard distance is a metric, so two members whose distances
-from the pivot differ by more than a link's are passed over without a look at their sets. A bucket in which strays and
-members would still make very many pairs is split by the documents' other keys (a linked pair agrees in one of those as
-well).
+from the pivot differ by more than a link's are passed over without a look at their sets. A bucket's strays and
+members are cut into a grid of cells of bounded pairs; each pair is in one cell, so none is lost in a large bucket.
 
 Cases: a document without words or with null text has no shingles and is linked with nothing; one with fewer words
 than a shingle has its whole sequence as its only shingle; a null id is never linked, its component is null and it is
@@ -26,6 +25,7 @@ whole texts are shingled, whatever their length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +41,7 @@ from . import common
 SYMBOLS, CHUNKS, WIDTH = 128, 8, 5
 #: Bits kept of each symbol, the longs that hold them, and symbols in which those of a pair may differ.
 BITS, PLANES, FAR = 4, 4 * SYMBOLS // 64, 44
-#: A bucket in which strays and members make more pairs than this is split by the documents' other keys.
+#: Pairs of strays and members of a bucket that are compared in one cell, about.
 BUCKET_PAIRS = 2_000_000
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
@@ -244,7 +244,7 @@ def _stray_pairs(shared: DataFrame, reps: DataFrame, comp: DataFrame, scored: Da
 
     A pair is made by the least key that its members share only."""
     marked = _strays(shared, comp)
-    mixed = marked.groupBy("key").agg((F.count_if("stray") * F.count(F.lit(1))).alias("pairs")).where("pairs > 0")
+    mixed = marked.groupBy("key").agg(F.count_if("stray").alias("strays"), F.count(F.lit(1)).alias("members")).where("strays > 0")
     away = scored.select("pivot", "id", (1 - F.col("common") / F.col("total")).alias("away"))
     held = (
         marked.join(mixed, "key").join(away, ["pivot", "id"], "left").join(reps.select("id", "keys", *_FACTS), "id")
@@ -254,23 +254,18 @@ def _stray_pairs(shared: DataFrame, reps: DataFrame, comp: DataFrame, scored: Da
     columns = ["key", "id", "pivot", "away", "component", "keys", *_FACTS]
     reach = 1 - percent / 100 + 1e-9
 
-    def across(rows: DataFrame, first) -> DataFrame:
-        a = rows.where("stray").select(*[F.col(c).alias(f"o_{c}") for c in columns])
-        b = rows.select(*columns)
-        same = F.col("o_pivot") == F.col("pivot")
-        out_of_reach = same & (F.abs(F.col("away") - F.col("o_away")) > reach)
-        return a.join(b, (F.col("o_key") == F.col("key")) & (F.col("o_component") != F.col("component")) & _near(percent) & ~F.coalesce(out_of_reach, F.lit(False)) & first).select(
-            F.greatest("o_id", "id").alias("id"), F.least("o_id", "id").alias("pivot")
-        )
-
+    # Strays by members of a bucket are a grid of cells of about BUCKET_PAIRS pairs each, so every pair is in one cell.
+    side = max(1, math.isqrt(BUCKET_PAIRS))
+    cells = lambda c: F.ceil(F.col(c) / side).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("id"), cells(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), cells(c) - 1))
+    a = held.where("stray").select(*[F.col(c).alias(f"o_{c}") for c in columns], mine("strays").alias("o_row"), upto("members").alias("o_col"))
+    b = held.select(*columns, upto("strays").alias("row"), mine("members").alias("col"))
+    cell = (F.col("o_key") == F.col("key")) & (F.col("o_row") == F.col("row")) & (F.col("o_col") == F.col("col"))
+    out_of_reach = (F.col("o_pivot") == F.col("pivot")) & (F.abs(F.col("away") - F.col("o_away")) > reach)
     least_shared = F.array_min(F.array_intersect("keys", "o_keys")) == F.col("key")
-    light = across(held.where(F.col("pairs") <= BUCKET_PAIRS), least_shared)
-    # A heavy bucket is split by every other key of its members: key and other key together make the new key.
-    split = (
-        held.where(F.col("pairs") > BUCKET_PAIRS).withColumn("other", F.explode("keys")).where("other <> key")
-        .withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other")
-    )
-    return light.unionByName(across(split, F.lit(True))).select("pivot", "id").distinct()
+    made = a.join(b, cell & (F.col("o_component") != F.col("component")) & _near(percent) & ~F.coalesce(out_of_reach, F.lit(False)) & least_shared)
+    return made.select(F.least("o_id", "id").alias("pivot"), F.greatest("o_id", "id").alias("id")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

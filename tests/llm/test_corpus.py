@@ -81,6 +81,18 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [neardup.BUCKET_PAIRS, 4, 0])
+def test_a_heavy_bucket_gives_pairs_that_share_its_key_only(spark, monkeypatch, pairs):
+    monkeypatch.setattr(neardup, "BUCKET_PAIRS", pairs)
+    facts = [10, *[0] * neardup.PLANES]
+    reps = spark.createDataFrame([(i, [1, 10 * i], *facts) for i in range(1, 8)], "id long, keys array<long>, " + ", ".join(f"{c} long" for c in neardup._FACTS))
+    shared = spark.createDataFrame([(1, i, 7, 1) for i in range(1, 8)], "key long, id long, company long, pivot long")
+    scored = spark.createDataFrame([(1, i, 75, 100) for i in range(2, 8)], "pivot long, id long, common long, total long")
+    comp = spark.createDataFrame([], "id long, component long")
+    got = sorted(tuple(r) for r in neardup._stray_pairs(shared, reps, comp, scored, 80).collect())
+    assert got == [(a, b) for a in range(2, 8) for b in range(a + 1, 8)]
+
+
 def test_index_guarantee():
     """Signatures that differ in at most 2 * CHUNKS - 1 index symbols share a key."""
     rng = np.random.default_rng(1)
