@@ -149,7 +149,8 @@ def test_components(spark, rows):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     want = sorted((x, find(x)) for x in parent)
-    assert tuples(cc.components(edges(spark, rows))) == want
+    for one_task in (0, cc.ONE_TASK):
+        assert tuples(cc.components(edges(spark, rows), one_task=one_task)) == want
     assert tuples(graph.min_label(edges(spark, rows)).select("id", "component")) == want
 
 
