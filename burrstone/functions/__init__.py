@@ -66,6 +66,17 @@ def pair_hash(a: Column, b: Column, modulus: int) -> Column:
     return F.pmod(a * 31 + b, F.lit(modulus))
 
 
+def pair_concat(a: Column, b: Column) -> Column:
+    """The low 32 bits of both in one 64-bit key."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(low(a), 32).bitwiseOR(low(b))
+
+
+def elementwise(f, kind: str = "long"):
+    """Any function of whole columns (pandas Series in, Series out) as a Column function, run on Arrow batches."""
+    return F.pandas_udf(f, kind)
+
+
 def choose(n: int, k: int) -> int:
     return comb(n, k)
 

@@ -57,8 +57,9 @@ def max_degree_root(edges: DataFrame) -> int:
 def bfs(edges: DataFrame, roots: DataFrame, mode: str = "push", alpha: float = 20.0, beta: float = 20.0, most: int = 10_000) -> DataFrame:
     """id, level, parent of what can be reached from the roots (a column id), level by level.
 
-    push joins the frontier with its out-edges; pull joins the unvisited with their in-edges; hybrid pulls while the
-    frontier's edges are more than the remaining edges / alpha and goes back when it has fewer than n / beta vertices.
+    push joins the frontier with its out-edges; pull joins the unvisited with their in-edges; hybrid pulls once the
+    frontier grows and its edges are more than the remaining edges / alpha, and goes back once it shrinks and has fewer
+    than n / beta vertices.
     The parent is the least frontier neighbour, so results do not depend on the mode or on timing.
     """
     if mode not in ("push", "pull", "hybrid"):
@@ -68,16 +69,17 @@ def bfs(edges: DataFrame, roots: DataFrame, mode: str = "push", alpha: float = 2
     everything = cut(endpoints(edges))
     n, remaining = everything.count(), edges.count()
     seen = cut(roots.select(F.col("id").cast("long")).distinct().select("id", F.lit(0).alias("level"), F.col("id").alias("parent")))
-    frontier, level, pulling = seen.select("id"), 0, mode == "pull"
+    frontier, level, pulling, last = seen.select("id"), 0, mode == "pull", 0
     while level < most:
         if mode == "hybrid":
             size = frontier.count()
             weight = frontier.join(out, "id").agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
             remaining -= weight
-            if not pulling and weight > max(1, remaining) / alpha:
+            if not pulling and size > last and weight > max(1, remaining) / alpha:
                 pulling = True
-            elif pulling and size < n / beta:
+            elif pulling and size < last and size < n / beta:
                 pulling = False
+            last = size
         f = frontier.select(F.col("id").alias("src"))
         if pulling:
             left = everything.join(seen.select("id"), "id", "left_anti")

@@ -145,8 +145,8 @@ def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-05 00:00:00' AND ts < timestamp_ntz'2024-01-12 00:00:00'").select("event_id", "user_id", "event_type")
 
 
-@query("valid_vertices", f"WITH {EDGES_CTE} SELECT i AS id FROM range(200) t(i) WHERE i IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
+@query("valid_vertices", f"WITH {EDGES_CTE} SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def valid_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from burrstone.operators.graph import endpoints
 
-    return spark.range(200).join(endpoints(edges(spark, sf_dir)), "id", "left_semi")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(endpoints(edges(spark, sf_dir)), "id", "left_semi")

@@ -92,10 +92,10 @@ def views_by_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 32).select(F.col("id").alias("view"), F.bit_count("id").alias("dims")).orderBy("dims", "view")
 
 
-@query("unsigned_order", f"SELECT line, row_number() OVER (ORDER BY key % 1000, line) AS place FROM ({KEYS_SQL}) WHERE line < 5000")
+@query("unsigned_order", f"SELECT line, row_number() OVER (ORDER BY key % 1000, line) AS place FROM ({KEYS_SQL})")
 def unsigned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unsigned order of 64-bit keys through the sign-bit flip: keys here are residues with the top bit set."""
-    k = _keys(spark, sf_dir).where("line < 5000").withColumn("u", (F.col("key") % 1000).bitwiseXOR(F.lit(-(1 << 63))))
+    k = _keys(spark, sf_dir).withColumn("u", (F.col("key") % 1000).bitwiseXOR(F.lit(-(1 << 63))))
     biased = k.withColumn("o", F.col("u").bitwiseXOR(F.lit(-(1 << 63))))
     return ordering.row_positions(biased, ["o", "line"], "p").select("line", (F.col("p") + 1).alias("place"))
 
@@ -168,10 +168,10 @@ def map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.read_at(_array(spark, sf_dir), wanted).select("idx", "value")
 
 
-@query("vector_push", """SELECT s_suppkey - 1 AS idx, s_suppkey * 7 AS value FROM supplier WHERE s_suppkey <= 5
-UNION ALL SELECT 4 + row_number() OVER (ORDER BY n_nationkey), n_nationkey + 100 FROM nation""")
+@query("vector_push", """SELECT s_suppkey - 1 AS idx, s_suppkey * 7 AS value FROM supplier
+UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) - 1 + row_number() OVER (ORDER BY n_nationkey), n_nationkey + 100 FROM nation""")
 def vector_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select((F.col("s_suppkey") - 1).alias("idx"), (F.col("s_suppkey") * 7).alias("value"))
+    v = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).alias("idx"), (F.col("s_suppkey") * 7).alias("value"))
     more = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") + 100).cast("long").alias("value"))
     return containers.push(v, more, ["n_nationkey"])
 

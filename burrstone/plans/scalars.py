@@ -36,11 +36,12 @@ def fn_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("fn_hash_mod", "SELECT l_orderkey, l_linenumber, (l_partkey * 31 + l_suppkey) % 64 AS pair, (l_orderkey * 7 + 3) % 16 AS linear, l_partkey % 5 AS axis FROM lineitem")
+@query("fn_hash_mod", "SELECT l_orderkey, l_linenumber, (l_partkey * 31 + l_suppkey) % 64 AS pair, (l_orderkey * 7 + 3) % 16 AS linear, l_partkey % 5 AS axis, (l_orderkey << 32) | l_partkey AS joined FROM lineitem")
 def fn_hash_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", fn.pair_hash(F.col("l_partkey"), F.col("l_suppkey"), 64).alias("pair"),
         F.pmod(F.col("l_orderkey") * 7 + 3, F.lit(16)).alias("linear"), F.pmod("l_partkey", F.lit(5)).alias("axis"),
+        fn.pair_concat(F.col("l_orderkey"), F.col("l_partkey")).alias("joined"),
     )
 
 
@@ -80,3 +81,21 @@ def fn_random_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = lambda: spark.range(0, 20000, 1, 4).select("id", F.rand(11).alias("u"))
     same = u().join(u().withColumnRenamed("u", "v"), "id").agg(F.bool_and(F.col("u") == F.col("v")).alias("repeatable"))
     return u().agg(F.bool_and((F.col("u") >= 0) & (F.col("u") < 1)).alias("in_range"), (F.abs(F.avg("u") - 0.5) < 0.02).alias("near_half")).crossJoin(same)
+
+
+@query("fn_combinatorics", """SELECT n, k, CAST(factorial(n::INTEGER) / (factorial(k::INTEGER) * factorial((n - k)::INTEGER)) AS BIGINT) AS ways,
+(SELECT count(*) FROM range(1, CAST(pow(2, n) AS BIGINT)) m(v) WHERE bit_count(v) = k) AS masks, lcm(n, k) AS period FROM range(1, 11) a(n), range(1, 11) b(k) WHERE k <= n""")
+def fn_combinatorics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan-time helpers: binomials, the views of each size among all subsets, and the common period of two walks."""
+    rows = []
+    for n in range(1, 11):
+        views = [len(fn.mask_to_dims(m, n)) for m in fn.subsets(n)]
+        rows += [(n, k, fn.choose(n, k), views.count(k), fn.expected_view_size([n, k])) for k in range(1, n + 1)]
+    return spark.createDataFrame(rows, "n long, k long, ways long, masks long, period long")
+
+
+@query("forall_lambda", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_custkey // 2 ELSE 3 * o_custkey + 1 END AS next FROM orders")
+def forall_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any function over the elements, as users bring it: whole batches in, whole batches out."""
+    step = fn.elementwise(lambda x: (x // 2).where(x % 2 == 0, 3 * x + 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", step("o_custkey").alias("next"))

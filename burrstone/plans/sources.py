@@ -61,10 +61,10 @@ def binary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_packed(spark, path, ["f0", "f1", "f2"])
 
 
-@query("binary_doubles", "SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem WHERE l_orderkey < 500")
+@query("binary_doubles", "SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem")
 def binary_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.scratch(spark, "doubles")
-    files.write_packed(table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select("l_quantity", "l_extendedprice"), path, "double")
+    files.write_packed(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice"), path, "double")
     return files.read_packed(spark, path, ["a", "b"], "double")
 
 
@@ -157,6 +157,12 @@ def gen_rmat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _power_law(gen.kronecker(spark, 9, 16 << 9, seed=5, noise=0.1), 9)
 
 
+@query("gen_scramble", "SELECT i AS id FROM range(4096) t(i)")
+def gen_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertex permutation meets each id once."""
+    return spark.range(4096).select(gen.scramble(F.col("id"), 12, 7).alias("id"))
+
+
 @query("gen_keys", "SELECT 65536::BIGINT AS n, true AS in_range, true AS mean_ok, true AS narrow")
 def gen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-Gaussian keys: in range, mean one half, deviation near 1 / sqrt(48)."""
@@ -174,13 +180,15 @@ def gen_tuples_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.crossJoin(p.agg(F.bool_and((F.size("point") == 4) & (F.array_min("point") >= 0) & (F.array_max("point") < 1)).alias("points_ok")))
 
 
-@query("gen_unbalanced_tree", "SELECT true AS children_add_up, true AS last_level_is_leaves, 1::BIGINT AS roots")
+# The published size of the sample tree of seed 19, four children on average, ten levels.
+@query("gen_unbalanced_tree", "SELECT 4130071::BIGINT AS nodes, 3305118::BIGINT AS leaves, 10 AS depth, true AS children_add_up")
 def gen_unbalanced_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A geometric tree: nodes of a level are the children of the one above, and the last level has leaves only."""
-    t = gen.unbalanced_tree(spark, 19, b0=4.0, most_depth=4)
-    rows = {r["depth"]: r for r in t.collect()}
-    last = rows[max(rows)]
-    return spark.createDataFrame([(sum(r["nodes"] for r in rows.values()) >= len(rows), last["nodes"] == last["leaves"], rows[0]["nodes"])], "children_add_up boolean, last_level_is_leaves boolean, roots long")
+    """The geometric tree of the published sample: its size, its leaves and its depth; every level but the first is as
+    large as the inner nodes above it allow."""
+    t = gen.unbalanced_tree(spark, 19, b0=4.0, most_depth=10)
+    above = t.select((F.col("depth") + 1).alias("depth"), (F.col("nodes") - F.col("leaves")).alias("inner"))
+    fits = t.join(above, "depth", "left").agg(F.bool_and(F.col("inner").isNull() | (F.col("nodes") >= F.col("inner"))).alias("children_add_up"))
+    return t.agg(F.sum("nodes").alias("nodes"), F.sum("leaves").alias("leaves"), F.max("depth").alias("depth")).crossJoin(fits)
 
 
 def _walk_sql(n: int) -> str:

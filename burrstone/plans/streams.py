@@ -11,9 +11,9 @@ from burrstone.sources.files import scratch
 from burrstone.streaming import stream_join
 
 
-@query("stream_symmetric_join", "SELECT o_custkey, o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 3000")
+@query("stream_symmetric_join", "SELECT o_custkey, o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def stream_symmetric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_custkey", "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     left, right, out, mark = (scratch(spark, n) for n in ("left", "right", "joined", "mark"))
     orders.repartition(3).write.parquet(left)

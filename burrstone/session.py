@@ -40,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder if it names one; only an unset directory is filled in (tests, local runs)."""
+    """Keep the cluster's shared folder if it names one; only on one machine an unset directory is filled in."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="burrstone-checkpoints-"))
 
 
