@@ -5,17 +5,16 @@ CHUNKS * WIDTH symbols are the index: chunks of WIDTH symbols, in each of which
 errors are enumerated as the WIDTH ways to leave one symbol out; documents that agree in what is left share a key.
 By the pigeonhole principle all pairs whose signatures differ in at most 2 * CHUNKS - 1 index symbols share a key; at
 similarity 0.8 the others share one with probability above 1 - 3e-5. Four bits of every symbol are kept apart as planes;
-pairs whose symbols differ in more than FAR places there (at similarity 0.8: fewer than one in 10**5, as the normal tail has it) are not looked
-at. What is left is confirmed on the full sets.
+the signature distance of a pair is the number of symbols that differ there, and pairs further apart than FAR are not
+looked at (at similarity 0.8: 2 in 10**7, the binomial tail). What is left is confirmed on the full sets.
 
 Pairs of a bucket are never listed. Equal sets are one class, only its least id takes part. The pivot of a bucket is
-its member with the most company in all its buckets, which is the middle of a group of copies; every member is compared
-with the pivots of its buckets, and the links found are contracted to components. Members that are not in the component
-of their bucket's pivot are strays; the middle of a bucket's strays is its next pivot, and so on for MORE_STARS rounds,
-each as long as the bucket. Then only the strays that are left are compared with the bucket's members of other components, so every pair
-that shares a key is either compared or already connected. Jaccard distance is a metric, so two members whose distances
-from the pivot differ by more than a link's are passed over without a look at their sets. A bucket's strays and
-members are cut into a grid of cells of bounded pairs; each pair is in one cell, so none is lost in a large bucket.
+its member with the most company in all its buckets, which is the middle of a group of copies; the buckets of one pivot
+are one group. Every member is compared with its pivots, and the links found are contracted to components. Members that
+are not in the component of their pivot are strays; only they are compared with the group's members of other components,
+so every pair that shares a key is either compared or already connected. Strays and members of a group are cut into a
+grid of cells of bounded size; each pair meets in one cell, whatever the size of the group, and a cell gives back which
+members matter, or links that join components, never its pairs.
 
 Cases: a document without words or with null text has no shingles and is linked with nothing; one with fewer words
 than a shingle has its whole sequence as its only shingle; a null id is never linked, its component is null and it is
@@ -25,7 +24,6 @@ whole texts are shingled, whatever their length.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +37,14 @@ from burrstone.session import cut
 from . import common
 
 SYMBOLS, CHUNKS, WIDTH = 128, 8, 5
-#: Bits kept of each symbol, the longs that hold them, and symbols in which those of a pair may differ.
-BITS, PLANES, FAR = 4, 4 * SYMBOLS // 64, 44
-#: Pairs of strays and members of a bucket that are compared in one cell, about.
-BUCKET_PAIRS = 2_000_000
+#: Bits kept of each symbol, the longs that hold them, and the distance: symbols in which those of a pair may differ.
+BITS, PLANES, FAR = 4, 4 * SYMBOLS // 64, 48
 #: Members of a pivot that are compared in one group.
 BLOCK = 256
-#: Further rounds of stars, around the middle of each bucket's strays, before strays are compared with all others.
-MORE_STARS = 0
+#: Members on either side of a cell in which signatures meet.
+MET = 4096
+#: Members, and shingles, on either side of a cell in which sets meet, about.
+CELL, CELL_SHINGLES = 512, 200_000
 #: Bits of the map of wanted ids.
 MARKS = 1 << 22
 #: Words whose hashes a task remembers.
@@ -164,9 +162,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 _FACTS = ["n", *[f"p{k}" for k in range(PLANES)]]
 
 
-def _scored(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """pivot, id, common, total: sizes of intersection and union of the full sets of each pair. A set goes once to each
-    pivot of its document, and a pivot's set once to each block of its members, so a large group is many small ones."""
+def _star_links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (pivot, id) that are links, by their full sets. A set goes once to each pivot of its document, and a
+    pivot's set once to each block of its members, so a large group is many small ones."""
     pairs = cut(pairs)
     wanted = cut(pairs.select("id").union(pairs.select("pivot")).distinct())
     sets = cut(shingle_sets(docs, wanted, size))
@@ -178,17 +176,11 @@ def _scored(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     )
     both = F.size(F.array_intersect("shingles", "of_pivot"))
     joined = left.join(right, ["pivot", "block"]).select("pivot", "id", both.alias("common"), (F.size("shingles") + F.size("of_pivot")).alias("sum"))
-    scored = joined.select("pivot", "id", "common", (F.col("sum") - F.col("common")).alias("total"))
-    # An id with several texts has several sets: its nearest counts.
-    return scored.groupBy("pivot", "id").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("s"), "common", "total")).alias("b")).select("pivot", "id", "b.common", "b.total")
-
-
-def _links(scored: DataFrame, percent: int) -> DataFrame:
-    return scored.where(F.col("common") * 100 >= F.col("total") * percent).select("pivot", "id")
+    return joined.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select("pivot", "id").distinct()
 
 
 def _near(percent: int, a: str = "", b: str = "o_"):
-    """Whether a pair can be similar enough by sizes and signatures; its facts have the prefixes a and b."""
+    """Whether a pair is within the signature distance, and its sizes let it be similar; its facts have the prefixes a and b."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     differ = F.lit(0)
     for start in range(0, PLANES, BITS):
@@ -199,73 +191,116 @@ def _near(percent: int, a: str = "", b: str = "o_"):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= FAR)
 
 
-def _shared(reps: DataFrame) -> DataFrame:
-    """key, id, company, pivot: the members of buckets with several members. Only keys and ids are shuffled for it, and buckets
-    are counted before the shuffle, so one that holds a third of all documents is no large group."""
+def _members(reps: DataFrame) -> DataFrame:
+    """(pivot, id): for each bucket of several members its pivot with each of them; buckets of one pivot are one group.
+
+    Only keys and ids are shuffled for it, and buckets are counted before the shuffle, so one that holds a third of all
+    documents is no large group."""
     rows = reps.select(F.explode("keys").alias("key"), "id")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     held = cut(rows.join(counts.select("key", "members"), "key"))
     company = held.groupBy("id").agg(F.sum("members").alias("company"))
     members = held.select("key", "id").join(company, "id")
-    return members.join(_middles(members), "key")
-
-
-def _middles(members: DataFrame) -> DataFrame:
-    """key, pivot: of each key the member with the most company, the least id of those."""
     best = members.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("p"))
-    return best.select("key", (-F.col("p.minus")).alias("pivot"))
+    return members.join(best.select("key", (-F.col("p.minus")).alias("pivot")), "key").select("pivot", "id").distinct()
 
 
-def _strays(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """shared with component and stray: whether a member is in another component than its bucket's pivot."""
-    lead = comp.select(F.col("id").alias("pivot"), F.col("component").alias("lead"))
-    return (
-        shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).join(lead, "pivot", "left")
-        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).drop("lead")
-    )
+def _star_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(pivot, id) for members within the signature distance of their pivot."""
+    of_pivot = facts.select(F.col("id").alias("pivot"), *[F.col(c).alias(f"o_{c}") for c in _FACTS])
+    return members.where("id <> pivot").join(facts, "id").join(of_pivot, "pivot").where(_near(percent)).select("pivot", "id")
 
 
-def _next_stars(marked: DataFrame) -> DataFrame:
-    """key, id, pivot: members with the middle of their bucket's strays, where the two are in different components."""
-    pivots = _middles(marked.where("stray"))
-    of = marked.select("key", F.col("id").alias("pivot"), F.col("component").alias("theirs"))
-    return marked.select("key", "id", "component").join(pivots.join(of, ["key", "pivot"]), "key").where("component <> theirs").select("key", "id", "pivot")
+def _grid(strays: DataFrame, others: DataFrame, side: int, shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Both with the cells row and col: each stray of a group meets each of its others in exactly one cell, and a cell
+    has about side members, or that many shingles, on either side."""
 
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        need = F.greatest(F.ceil(F.count(F.lit(1)) / side), F.ceil(F.sum("n") / shingles)).cast("int")
+        return df.groupBy("pivot").agg(need.alias(name))
 
-def _star_pairs(shared: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id) for members that can be similar to the pivot of a bucket they are in."""
-    pairs = shared.where("id <> pivot").select("pivot", "id").distinct()
-    of_pivot = facts.select(F.col("id").alias("pivot"), *[F.col(c).alias(f"o_{c}") for c in _FACTS])
-    return pairs.join(facts, "id").join(of_pivot, "pivot").where(_near(percent)).select("pivot", "id")
+    sizes = blocks(strays, "rows").join(blocks(others, "cols"), "pivot")
+    mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = strays.join(sizes, "pivot").withColumn("row", mine("rows")).withColumn("col", upto("cols")).drop("rows", "cols")
+    b = others.join(sizes, "pivot").withColumn("col", mine("cols")).withColumn("row", upto("rows")).drop("rows", "cols")
+    return a, b
 
 
-def _stray_pairs(shared: DataFrame, reps: DataFrame, comp: DataFrame, scored: DataFrame, percent: int) -> DataFrame:
-    """(pivot, id): members that are not in the component of their bucket's pivot, with members of other components.
+def _stray_links(members: DataFrame, facts: DataFrame, comp: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(pivot, id): links between the strays of a group and its members of other components, as far as they join components.
 
-    A pair is made by the least key that its members share only."""
-    marked = _strays(shared, comp)
-    mixed = marked.groupBy("key").agg(F.count_if("stray").alias("strays"), F.count(F.lit(1)).alias("members")).where("strays > 0")
-    away = scored.select("pivot", "id", (1 - F.col("common") / F.col("total")).alias("away"))
-    held = (
-        marked.join(mixed, "key").join(away, ["pivot", "id"], "left").join(reps.select("id", "keys", *_FACTS), "id")
-        .withColumn("away", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("away")))
+    Pairs are never rows. Two semi-joins of the grid's cells keep the members that have anyone of another component
+    within the signature distance; then their sets meet in smaller cells, which give spanning links only."""
+    lead = comp.select(F.col("id").alias("pivot"), F.col("component").alias("lead"))
+    marked = (
+        members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")).join(lead, "pivot", "left")
+        .withColumn("stray", F.col("component") != F.coalesce("lead", "pivot")).drop("lead")
     )
-    held = cut(held)
-    columns = ["key", "id", "pivot", "away", "component", "keys", *_FACTS]
-    reach = 1 - percent / 100 + 1e-9
-
-    # Strays by members of a bucket are a grid of cells of about BUCKET_PAIRS pairs each, so every pair is in one cell.
-    side = max(1, math.isqrt(BUCKET_PAIRS))
-    cells = lambda c: F.ceil(F.col(c) / side).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("id"), cells(c)).cast("int")
-    upto = lambda c: F.explode(F.sequence(F.lit(0), cells(c) - 1))
-    a = held.where("stray").select(*[F.col(c).alias(f"o_{c}") for c in columns], mine("strays").alias("o_row"), upto("members").alias("o_col"))
-    b = held.select(*columns, upto("strays").alias("row"), mine("members").alias("col"))
-    cell = (F.col("o_key") == F.col("key")) & (F.col("o_row") == F.col("row")) & (F.col("o_col") == F.col("col"))
-    out_of_reach = (F.col("o_pivot") == F.col("pivot")) & (F.abs(F.col("away") - F.col("o_away")) > reach)
-    least_shared = F.array_min(F.array_intersect("keys", "o_keys")) == F.col("key")
-    made = a.join(b, cell & (F.col("o_component") != F.col("component")) & _near(percent) & ~F.coalesce(out_of_reach, F.lit(False)) & least_shared)
-    return made.select(F.least("o_id", "id").alias("pivot"), F.greatest("o_id", "id").alias("id")).distinct()
+    mixed = marked.groupBy("pivot").agg(F.count_if("stray").alias("strays")).where("strays > 0").select("pivot")
+    held = cut(marked.join(mixed, "pivot").join(facts, "id"))
+
+    strays, others = _grid(held.where("stray"), held, MET, 1 << 40)
+    renamed = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns])
+    meets = [F.col(c) == F.col(f"o_{c}") for c in ("pivot", "row", "col")] + [F.col("component") != F.col("o_component"), _near(percent)]
+    kept = ["pivot", "id", "component", "n"]
+    a = cut(strays.join(renamed, meets, "left_semi").select(*kept).distinct())
+    renamed = strays.select(*[F.col(c).alias(f"o_{c}") for c in strays.columns])
+    b = cut(others.join(renamed, meets, "left_semi").select(*kept).distinct())
+
+    sets = cut(shingle_sets(docs, cut(a.select("id").union(b.select("id")).distinct()), size))
+    strays, others = _grid(a, b, CELL, CELL_SHINGLES)
+    both = strays.withColumn("stray", F.lit(True)).unionByName(others.withColumn("stray", F.lit(False))).join(sets, "id")
+    both = both.select("pivot", "row", "col", "stray", "id", "component", "shingles")
+    return both.groupBy("pivot", "row", "col").applyInArrow(lambda t: _cell_links(t, percent), "pivot long, id long")
+
+
+def _cell_links(cell, percent: int):
+    """Links of a cell that join components, by exact sizes of intersections: no more than there are members."""
+    import pyarrow as pa
+
+    side, ids, component = (cell.column(c).to_numpy() for c in ("stray", "id", "component"))
+    side = side.astype(bool)
+    lists = cell.column("shingles").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(lists.value_lengths(), np.int64))
+    size = np.diff(ends, prepend=0)
+    row = np.repeat(np.arange(len(ids)), size)
+    at = np.empty(len(ids), np.int64)  # the place of each row on its side
+    at[side], at[~side] = np.arange(side.sum()), np.arange((~side).sum())
+    # Only shingles of both sides count; a slice of them at a time is a pair of 0-1 matrices.
+    left = side[row]
+    names = np.intersect1d(flat[left], flat[~left])
+    k = np.minimum(np.searchsorted(names, flat), max(0, len(names) - 1))
+    shared = (names[k] == flat) if len(names) else np.zeros(len(flat), bool)
+    order = np.argsort(k[shared], kind="stable")
+    k, row = k[shared][order], row[shared][order]
+    common = np.zeros((int(side.sum()), int((~side).sum())), np.float32)
+    for start in range(0, len(names), 2048):
+        lo, hi = np.searchsorted(k, [start, start + 2048])
+        part, of = k[lo:hi] - start, row[lo:hi]
+        m = [np.zeros((n, 2048), np.float32) for n in common.shape]
+        for which, mat in ((True, m[0]), (False, m[1])):
+            sel = side[of] == which
+            mat[at[of[sel]], part[sel]] = 1
+        common += m[0] @ m[1].T
+    total = size[side][:, None] + size[~side][None, :] - common
+    hit = (common * 100 >= total * percent) & (component[side][:, None] != component[~side][None, :])
+    a, b = np.nonzero(hit)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    pairs = zip(ids[side][a].tolist(), component[side][a].tolist(), ids[~side][b].tolist(), component[~side][b].tolist(), strict=True)
+    for i, of_i, j, of_j in pairs:
+        if (x := root(of_i)) != (y := root(of_j)):
+            parent[x] = y
+            out.append((i, j))
+    return pa.table({"pivot": pa.array([x for x, _ in out], pa.int64()), "id": pa.array([y for _, y in out], pa.int64())})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -278,18 +313,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     )
     reps = cut(classes)
     facts = reps.select("id", *_FACTS)
-    shared = cut(_shared(reps))
-    scored = cut(_scored(_star_pairs(shared, facts, percent), docs, size))
-    links = cut(_links(scored, percent))
+    members = cut(_members(reps))
+    links = cut(_star_links(_star_pairs(members, facts, percent), docs, size, percent))
     comp = cut(components(links, "pivot", "id"))
-    for _ in range(MORE_STARS):
-        marked = cut(_strays(shared, comp))
-        if marked.where("stray").isEmpty():
-            break
-        more = cut(_links(_scored(_star_pairs(_next_stars(marked), facts, percent), docs, size), percent))
-        links = links.unionByName(more)
-        comp = cut(components(links, "pivot", "id"))
-    more = cut(_links(_scored(_stray_pairs(shared, reps, comp, scored, percent), docs, size), percent))
+    more = cut(_stray_links(members, facts, comp, docs, size, percent))
     comp = cut(components(links.unionByName(more), "pivot", "id"))
     member = reps.select("set_hi", "set_lo", "id").join(comp, "id", "left").select(
         F.col("set_hi").alias("__hi"), F.col("set_lo").alias("__lo"), F.coalesce("component", "id").alias("__component")

@@ -49,14 +49,23 @@ def edited(rng, text, rate):
     return " ".join(rng.choice(WORDS) if rng.random() < rate else w for w in text.split())
 
 
-@pytest.mark.parametrize("n, pairs", [(2, neardup.BUCKET_PAIRS), (5, neardup.BUCKET_PAIRS), (2, 0)])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, n, pairs):
-    monkeypatch.setattr(neardup, "BUCKET_PAIRS", pairs)
+def cells(monkeypatch, small):
+    for name, size in (("MET", 5), ("CELL", 3), ("CELL_SHINGLES", 400), ("BLOCK", 4)):
+        if small:
+            monkeypatch.setattr(neardup, name, size)
+
+
+@pytest.mark.parametrize("n, small", [(2, False), (5, False), (2, True)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, n, small):
+    cells(monkeypatch, small)
     rng = random.Random(n)
     rows = []
     for _ in range(25):
         base = " ".join(rng.choice(WORDS) for _ in range(rng.choice([4, 12, 60, 200])))
         rows += [base] + [edited(rng, base, rng.choice([0, 0.02, 0.05, 0.1])) for _ in range(rng.randint(0, 8))]
+    # A large group with very different amounts of editing: some reach each other only past their pivot.
+    base = " ".join(rng.choice(WORDS) for _ in range(150))
+    rows += [edited(rng, base, rng.random() * 0.25) for _ in range(70)]
     rows += ["", None, "one", "ONE", "one two", "a b c d e", "a b c d e f", " \t", "x " * 3000, "x " * 2000]
     ids = list(range(len(rows)))
     rng.shuffle(ids)
@@ -81,16 +90,27 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("pairs", [neardup.BUCKET_PAIRS, 4, 0])
-def test_a_heavy_bucket_gives_pairs_that_share_its_key_only(spark, monkeypatch, pairs):
-    monkeypatch.setattr(neardup, "BUCKET_PAIRS", pairs)
-    facts = [10, *[0] * neardup.PLANES]
-    reps = spark.createDataFrame([(i, [1, 10 * i], *facts) for i in range(1, 8)], "id long, keys array<long>, " + ", ".join(f"{c} long" for c in neardup._FACTS))
-    shared = spark.createDataFrame([(1, i, 7, 1) for i in range(1, 8)], "key long, id long, company long, pivot long")
-    scored = spark.createDataFrame([(1, i, 75, 100) for i in range(2, 8)], "pivot long, id long, common long, total long")
-    comp = spark.createDataFrame([], "id long, component long")
-    got = sorted(tuple(r) for r in neardup._stray_pairs(shared, reps, comp, scored, 80).collect())
-    assert got == [(a, b) for a in range(2, 8) for b in range(a + 1, 8)]
+@pytest.mark.parametrize("small", [False, True])
+def test_strays_of_a_group_are_linked_by_any_pair(spark, monkeypatch, small):
+    """Members that are not near their pivot, 1, but near each other: a spanning forest of the exact links comes back."""
+    cells(monkeypatch, small)
+    rng = random.Random(3)
+    bases = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(4)]
+    rows = [(1, bases[0])] + [(i, edited(rng, bases[i % 3 + 1], 0.02)) for i in range(2, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    facts = spark.createDataFrame([(i, len(shingles(t, 2)), *[0] * neardup.PLANES) for i, t in rows], "id long, " + ", ".join(f"{c} long" for c in neardup._FACTS))
+    members = spark.createDataFrame([(1, i) for i, _ in rows], "pivot long, id long")
+    comp = spark.createDataFrame([(5, 2), (2, 2)], "id long, component long")
+    got = [tuple(r) for r in neardup._stray_links(members, facts, comp, docs, 2, 80).collect()]
+    sets = {i: shingles(t, 2) for i, t in rows}
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in got)
+    from burrstone.operators.components import components
+
+    links = spark.createDataFrame([*got, (5, 2)], "pivot long, id long")
+    made = {r["id"]: r["component"] for r in components(links, "pivot", "id").collect()}
+    assert {i: made.get(i, i) for i, _ in rows} == brute_components(rows, 2)
+    if not small:
+        assert len(got) < len(rows)
 
 
 def test_index_guarantee():
