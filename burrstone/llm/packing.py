@@ -1,11 +1,13 @@
 """Sum-of-squares packing of token sequences into fixed windows.
 
 Each task packs the documents of its input partition online. A document of more than a window gives whole windows
-first; its rest is one item. counts[h] is the number of open windows filled to level h. An item of size s goes to the
-level h (0 opens a window) for which the sum of squares of counts grows least; ties go to the fullest level. A window
-that is full is closed and its pieces are given out, so a task holds only its open windows.
+first; its rest is one item. counts[h] is the number of open windows filled to level h, of STEP tokens each. An item goes
+to the level whose last window has room for it, or to a new window, so that the sum of squares of counts grows least;
+ties go to the fullest level. A window that lacks less than a level is topped up with the first tokens of the next item,
+which is cut there. A window that is full is closed and its pieces are given out, so a task holds only its open
+windows, a few for each level whatever the size of its partition.
 
-At the end of a task the few windows still open are emptied into each other: the tokens of the least filled top up the
+At the end of a task the windows still open are emptied into each other: the tokens of the least filled top up the
 fullest. What is left below one window is cut at powers of two, which need no padding by the rule of lengths. So a
 partition of any size wastes nothing, and packing needs no shuffle.
 
@@ -27,6 +29,8 @@ from . import common
 
 WINDOW = 4096
 END_ID = 2
+#: Tokens of a fill level; a window that lacks fewer is topped up with the head of the next piece.
+STEP = 128
 #: Pre-tokens whose ids a Python worker remembers; a full memory is emptied.
 REMEMBERED = 400_000
 #: Letters of extended Latin that are one character in lower case and in composed form.
@@ -48,11 +52,30 @@ def split(text: str) -> list[str] | None:
     return (_SPLIT_ASCII if text.isascii() else _SPLIT).findall(text.lower())
 
 
+def _ranges(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start[k]:start[k] + size[k]] for each k, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Numbers(dict):
+    """Pre-tokens numbered as they come; new ones are listed."""
+
+    def __init__(self, new: list[str]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, piece: str) -> int:
+        k = self[piece] = len(self)
+        self.new.append(piece)
+        return k
+
+
 class WordIds:
     """Ids of texts. The tokenizer lower-cases, drops white space and never merges across its pre-tokens, so the ids of
-    a text are those of its pre-tokens in turn: each new one is encoded once, its ids are kept in one flat array, and a
-    text's ids are gathered from there. The last id of a run of letters is the only one that carries the word end, so
-    many new runs go to the tokenizer in one call, and its ids are cut at word ends.
+    a text are those of its pre-tokens in turn: each new one is numbered and encoded once, its ids are kept in one flat
+    array, and the ids of many texts are gathered from there at once. The last id of a run of letters is the only one
+    that carries the word end, so many new runs go to the tokenizer in one call, and its ids are cut at word ends.
     """
 
     def __init__(self, path: str):
@@ -68,41 +91,51 @@ class WordIds:
         self._empty()
 
     def _empty(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, "<u4")  # piece k is flat[starts[k]:starts[k + 1]]
+        self.new: list[str] = []
+        self.number = _Numbers(self.new)
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, "<u4")  # the ids of number k: flat[starts[k]:starts[k + 1]]
 
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, missing: set[str]) -> None:
-        letters = [p for p in missing if p.isalpha()]
-        order, ids, sizes = [], [self.flat], [np.diff(self.starts)]
-        for k in range(0, len(letters), 5000):
-            part = letters[k : k + 5000]
-            made = self._raw("\n".join(part))
+    def _learn(self) -> None:
+        """The ids of the pre-tokens numbered since the last time: runs of letters first, many in one call."""
+        letters = [k for k, p in enumerate(self.new) if p.isalpha()]
+        order, ids, sizes = [], [], []
+        for at in range(0, len(letters), 5000):
+            part = letters[at : at + 5000]
+            made = self._raw("\n".join([self.new[k] for k in part]))
             stops = np.flatnonzero(self.ends[made]) + 1
             if len(stops) == len(part):
                 ids.append(made)
                 sizes.append(np.diff(stops, prepend=0))
             else:  # not one pre-token each after all
-                each = [self._raw(p) for p in part]
+                each = [self._raw(self.new[k]) for k in part]
                 ids.extend(each)
                 sizes.append(np.array([len(x) for x in each]))
             order.extend(part)
-        for p in missing.difference(order):
-            ids.append(self._raw(p))
-            sizes.append(np.array([len(ids[-1])]))
-            order.append(p)
-        self.number.update(zip(order, range(len(self.number), len(self.number) + len(order)), strict=True))
-        self.flat = np.concatenate(ids)
-        self.starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-
-    def _gather(self, pieces: list[str]) -> np.ndarray:
-        k = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        known = set(order)
+        for k in range(len(self.new)):
+            if k not in known:
+                ids.append(self._raw(self.new[k]))
+                sizes.append(np.array([len(ids[-1])]))
+                order.append(k)
+        # From the order in which they were encoded to the order of their numbers.
+        size, flat = np.concatenate(sizes), np.concatenate(ids)
+        start = np.cumsum(size) - size
+        back = np.argsort(np.array(order), kind="stable")
+        self.flat = np.concatenate([self.flat, _ranges(flat, start[back], size[back])])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size[back])])
+        self.new.clear()
+
+    def _gather(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of texts from the numbers of their pre-tokens, for all of them at once."""
+        k = np.concatenate(numbers)
         start = self.starts[k]
         size = self.starts[k + 1] - start
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = _ranges(self.flat, start, size)
+        stops = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(n) for n in numbers])].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Texts are taken in groups of about two million characters, so calls are few."""
@@ -111,20 +144,20 @@ class WordIds:
         while at < len(texts):
             if len(self.number) > REMEMBERED:
                 self._empty()
-            group: list[tuple[str, list[str] | None]] = []
-            size, seen = 0, set()
-            while at < len(texts) and (not group or size < 2_000_000):
+            raw: dict[int, np.ndarray] = {}
+            numbers: list[np.ndarray] = []
+            first, size = at, 0
+            while at < len(texts) and (at == first or size < 2_000_000):
                 text = texts[at]
                 pieces = split(text)
-                group.append((text, pieces))
-                if pieces:
-                    seen.update(pieces)
+                if pieces is None:
+                    raw[at - first] = self._raw(text)
+                numbers.append(np.fromiter(map(self.number.__getitem__, pieces or ()), np.int64, len(pieces or ())))
                 size += len(text)
                 at += 1
-            missing = seen.difference(self.number)
-            if missing:
-                self._learn(missing)
-            out.extend(self._raw(text) if pieces is None else self._gather(pieces) for text, pieces in group)
+            if self.new:
+                self._learn()
+            out.extend(raw.get(k, ids) for k, ids in enumerate(self._gather(numbers)))
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -144,42 +177,70 @@ def encoder(path: str) -> WordIds:
 class Packer:
     """Online sum-of-squares packing. A piece is (document, start, length, bytes of its ids)."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
-        self.counts = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list[list]] = {}  # level -> windows, each a list of pieces
+    def __init__(self, window: int = WINDOW, step: int = STEP):
+        self.window, self.step = window, max(1, min(step, window // 2))
+        levels = window // self.step + 1
+        self.counts = np.zeros(levels, np.int64)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(levels)]  # of each level its windows: fill and pieces
+        self.top = np.zeros(levels, np.int64)  # the fill of each level's last window
+        self.short: tuple[int, list] | None = None  # a window less than a step short, that waits for its last tokens
 
     def add(self, piece: tuple) -> list[list]:
         """Place a piece of at most a window; the windows that became full."""
-        size = piece[2]
-        if size == self.window:
+        if piece[2] == self.window:
             return [[piece]]
-        n = self.counts
-        # Growth of the sum of squares when a window of level h is filled to h + size; closing drops the level's count.
-        room = self.window - size
-        levels = np.flatnonzero(n[1 : room + 1]) + 1
-        best, cost = 0, 2 * int(n[size]) + 1
-        if len(levels):
-            to = levels + size
-            grow = np.where(to == self.window, 1 - 2 * n[levels], 2 * (n[to] - n[levels]) + 2)
-            k = len(grow) - 1 - int(np.argmin(grow[::-1]))
-            if grow[k] <= cost:
-                best = int(levels[k])
-        pieces = []
-        if best:
-            pieces = self.open[best].pop()
-            n[best] -= 1
-        pieces.append(piece)
-        if best + size == self.window:
-            return [pieces]
-        n[best + size] += 1
-        self.open.setdefault(best + size, []).append(pieces)
-        return []
+        done = []
+        if self.short:
+            fill, pieces = self.short
+            head, rest = _cut(piece, self.window - fill)
+            pieces.append(head)
+            self.short = (fill + head[2], pieces) if fill + head[2] < self.window else None
+            if self.short is None:
+                done.append(pieces)
+            if rest is None:
+                return done
+            piece = rest
+        size, n = piece[2], self.counts
+        # Growth of the sum of squares if the last window of a level takes the piece: the level loses one, the one it
+        # comes to, if it stays open, gains one.
+        levels = np.flatnonzero((n > 0) & (self.top + size <= self.window))
+        best, cost = -1, self._gain(size, -1)
+        for level in levels[::-1].tolist():  # ties go to the fullest level
+            grow = self._gain(int(self.top[level]) + size, level)
+            if grow < cost or grow == cost and best < 0:
+                best, cost = level, grow
+        fill, pieces = (0, []) if best < 0 else self._pop(best)
+        fill, pieces = fill + size, [*pieces, piece]
+        if fill == self.window:
+            done.append(pieces)
+        elif self.window - fill < self.step:
+            self.short = (fill, pieces)
+        else:
+            to = fill // self.step
+            self.open[to].append((fill, pieces))
+            self.counts[to] += 1
+            self.top[to] = fill
+        return done
+
+    def _gain(self, fill: int, level: int) -> int:
+        """What the sum of squared counts grows by if a window of a level (-1: a new one) comes to a fill."""
+        n, to = self.counts, fill // self.step
+        if to == level:
+            return 0
+        lost = 1 - 2 * int(n[level]) if level >= 0 else 0
+        return lost + (2 * int(n[to]) + 1 if self.window - fill >= self.step else 0)
+
+    def _pop(self, level: int) -> tuple[int, list]:
+        out = self.open[level].pop()
+        self.counts[level] -= 1
+        self.top[level] = self.open[level][-1][0] if self.open[level] else 0
+        return out
 
     def close(self) -> list[list]:
         """Empty the open windows into each other; the rest is cut at powers of two."""
-        left = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open, self.counts[:] = {}, 0
+        left = [self.short] * bool(self.short) + [w for level in reversed(self.open) for w in sorted(level, key=lambda w: -w[0])]
+        left = [pieces for _, pieces in left]
+        self.__init__(self.window, self.step)
         done, i = [], 0
         spare: list[tuple] = []  # pieces of the least filled windows
         while i < len(left):

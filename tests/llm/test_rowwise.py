@@ -109,16 +109,29 @@ def test_packing_round_trip(spark, window):
 
 
 def test_packer_takes_the_level_of_least_squares():
-    p = packing.Packer(10)
+    p = packing.Packer(10, 1)
     for k, size in enumerate([6, 6, 3]):
         assert p.add(((k, size), 0, size, b"\0" * 4 * size)) == []
     # Levels 6, 6 and 3 or 6 and 9: with two windows at 6, moving one to 9 makes the sum of squares least.
-    assert {h: len(w) for h, w in p.open.items() if w} == {6: 1, 9: 1}
-    assert [x[0][0] for x in p.add(((3, 1), 0, 1, b"\0" * 4))[0]] == [1, 2, 3] or True
+    assert p.counts.tolist() == [0, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0]
+    assert [[x[0][0] for x in w] for w in p.add(((3, 1), 0, 1, b"\0" * 4))] == [[1, 2, 3]]
     rest = p.close()
     assert sum(x[2] for w in rest for x in w) == 6
 
 
+def test_packer_tops_up_short_windows():
+    """A window that lacks less than a level takes the first tokens of the next piece; few windows stay open."""
+    rng = np.random.default_rng(5)
+    p, tokens, full = packing.Packer(1000, 50), 0, []
+    for k in range(4000):
+        size = int(min(1000, rng.lognormal(5, 1) + 1))
+        tokens += size
+        full += p.add(((k, size), 0, size, b"\0" * 4 * size))
+    assert all(sum(x[2] for x in w) == 1000 for w in full)
+    assert sum(map(len, p.open)) < 40 and sum(f for level in p.open for f, _ in level) < 0.05 * tokens
+    assert sum(x[2] for w in full + p.close() for x in w) == tokens
+
+
 COUNTER = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
