@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import struct
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-#: Cell formats of packed rows: name to (struct code, bytes).
-CELLS = {"long": ("q", 8), "double": ("d", 8), "int": ("i", 4)}
+#: Cell formats of packed rows: name to (type code, bytes).
+CELLS = {"long": ("<i8", 8), "double": ("<f8", 8), "int": ("<i4", 4)}
 FORMATS = ("tsv", "bintsv4", "mm")
 
 
@@ -64,21 +63,29 @@ def write_tsv(df: DataFrame, path: str) -> None:
 def read_packed(spark: SparkSession, path: str, names: Sequence[str], cell: str = "long") -> DataFrame:
     """Rows of equal cells, little-endian, without a header. A size that is no whole number of rows is an error.
 
-    Hadoop cuts large files at record borders, so one file is read by many tasks; a row is unpacked where it is read.
+    Hadoop cuts large files at record borders, so one file is read by many tasks. Records reach Python as Arrow batches,
+    and a batch is one array of cells there.
     """
     code, width = CELLS[cell]
     length = width * len(names)
     size = _bytes_at(spark, path)
     if size % length:
         raise ValueError(f"{path} has {size} bytes, which is no multiple of {length}")
-    row = "<" + code * len(names)
-    kind = DoubleType() if cell == "double" else LongType()
-    schema = StructType([StructField(n, kind, False) for n in names])
+    records = spark.sparkContext._jsc.binaryRecords(path, length).rdd()
+    raw = DataFrame(spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
 
-    def unpack(records: Iterator[bytes]) -> Iterator[tuple]:
-        return (struct.unpack(row, r) for r in records)
+    def unpack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            column = b.column(0)
+            first = np.frombuffer(column.buffers()[1], "<i4")[column.offset] if len(column) else 0
+            cells = np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + length * len(column)].view(code).reshape(-1, len(names))
+            wide = cells.astype("f8" if cell == "double" else "i8", copy=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(wide[:, k])) for k in range(len(names))], names=list(names))
 
-    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, length).mapPartitions(unpack), schema, verifySchema=False)
+    return raw.mapInArrow(unpack, ", ".join(f"`{n}` {'double' if cell == 'double' else 'long'}" for n in names))
 
 
 def write_packed(df: DataFrame, path: str, cell: str = "long") -> None:
@@ -86,7 +93,7 @@ def write_packed(df: DataFrame, path: str, cell: str = "long") -> None:
     torn file. The path must be one that pyarrow's file systems reach from every executor."""
     from pyarrow import fs as pafs
 
-    dtype = {"long": "<i8", "double": "<f8", "int": "<i4"}[cell]
+    dtype = CELLS[cell][0]
     uri = path if "://" in path else path.removeprefix("file:")
     system, top = pafs.FileSystem.from_uri(uri)
     system.create_dir(top)
