@@ -33,6 +33,8 @@ from . import common
 
 #: Tokens of a chunk, about; and words whose hashes a task remembers.
 CHUNK_TOKENS, REMEMBERED = 2_000_000, 150_000
+#: Buckets of the hash space for each partition of the input: a task adds up one at a time.
+BUCKETS = 4
 #: Fixed hashes of the end token and of the context before the first word.
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 #: Buckets of context counts (powers of two) and steps to a unit of the logarithm of the ratio of the estimates.
@@ -344,7 +346,7 @@ def score_rows(spark: SparkSession, docs: DataFrame, folds: int = 7, test_fold:
     # Texts are read three times and never shuffled raw; reading them again must give the same rows in the same
     # partitions, as files and checkpointed tables do.
     rows = docs.select("doc_id", kind.alias("kind"), "text")
-    buckets = max(8, rows.rdd.getNumPartitions())
+    buckets = BUCKETS * max(2, rows.rdd.getNumPartitions())
     totals = cut(gram_totals(rows, buckets))
     w = learn(rows, totals)
 
