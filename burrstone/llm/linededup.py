@@ -7,8 +7,10 @@ filter (16-bit fingerprints, four to a bucket), which takes insertions and delet
 
 To clean documents, the filters are sent to every task together with the exact list of corpus keys that the filters
 hold wrongly (every corpus key has a reference count, so the list is found by probing all of them). One scan without a
-shuffle of texts then decides every line exactly. If filters and list exceed SENT_BYTES, the lines are joined with the
-members instead, by key, and the verdicts with the documents, by id and text hash. Both ways give the same rows.
+shuffle of texts then decides every line exactly. If filters and list exceed SENT_BYTES, the keys of the lines go to the
+filters instead: each shard's filter meets the keys of its shard, in blocks of about PROBED, and the few that pass are
+joined with the members, which settles the wrong ones; verdicts join the documents by text hash. Both ways give the same
+rows.
 
 Cases: a null or empty text is one empty line; keys shorter than min_chars are never members; rows that repeat are
 documents of their own, also with equal ids; null ids stay null; an empty table gives no rows; other columns are kept
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -31,6 +34,8 @@ from . import common
 SENT_BYTES = 64 << 20
 #: Keys that a task counts before it hands them on.
 COUNTED = 100_000
+#: Keys of lines that meet a shard's filter in one group, about.
+PROBED = 500_000
 #: Members in a shard of the filters, about.
 SHARD_KEYS = 1 << 18
 
@@ -224,19 +229,31 @@ class Verdicts:
         return [h and d not in self.wrong for h, d in zip(held, digests, strict=True)]
 
 
-def learn(spark: SparkSession, docs: DataFrame, min_docs: int, min_chars: int) -> tuple[Verdicts | None, DataFrame]:
-    """What decides lines, or None if it is too large to be sent, and the members (hi, lo)."""
+@dataclass
+class Learned:
+    """What decides lines: the exact counts, the members among them, their filters by shard and, if all of it is small
+    enough to be sent, the verdicts."""
+
+    counts: DataFrame
+    members: DataFrame
+    filters: DataFrame
+    shards: int
+    verdicts: Verdicts | None = None
+
+
+def learn(spark: SparkSession, docs: DataFrame, min_docs: int, min_chars: int) -> Learned:
+    """Counts, members and filters of a corpus."""
     from burrstone.session import cut
 
     counts = cut(reference_counts(docs, min_chars))
     members = counts.where(F.col("n") >= min_docs).select("hi", "lo")
     n = members.count()
+    shards = max(1, -(-n // SHARD_KEYS))
+    learned = Learned(counts, members, cut(build_filters(members, shards)), shards)
     # A filter takes 2 bytes a slot and is at least 45 % full.
     if n * 4.5 > SENT_BYTES:
-        return None, members
-    shards = max(1, -(-n // SHARD_KEYS))
-    filters = {r["shard"]: bytes(r["filter"]) for r in build_filters(members, shards).collect()}
-    verdicts = Verdicts(shards, filters, set())
+        return learned
+    verdicts = Verdicts(shards, {r["shard"]: bytes(r["filter"]) for r in learned.filters.collect()}, set())
     sent = spark.sparkContext.broadcast(verdicts)
 
     def wrong(batches):
@@ -247,10 +264,10 @@ def learn(spark: SparkSession, docs: DataFrame, min_docs: int, min_chars: int) -
     rest = counts.where(F.col("n") < min_docs).select("hi", "lo").mapInArrow(wrong, "hi long, lo long")
     most = int((SENT_BYTES - n * 4.5) // 100)
     rows = rest.limit(most + 1).collect()
-    if len(rows) > most:
-        return None, members
-    verdicts.wrong = {np.array([r["hi"], r["lo"]], dtype="<i8").tobytes() for r in rows}
-    return verdicts, members
+    if len(rows) <= most:
+        verdicts.wrong = {np.array([r["hi"], r["lo"]], dtype="<i8").tobytes() for r in rows}
+        learned.verdicts = verdicts
+    return learned
 
 
 def _mask(keep: np.ndarray):
@@ -277,7 +294,7 @@ def clean_documents(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    verdicts, members = learn(spark, docs, min_docs, min_chars)
+    learned = learn(spark, docs, min_docs, min_chars)
     added = _parse_datatype_string(extra_schema) if extra_schema else StructType([])
     schema = StructType(list(docs.schema.fields) + list(added.fields))
     arrow = to_arrow_schema(schema)
@@ -295,15 +312,31 @@ def clean_documents(
             columns = [pa.array(texts, type=arrow.field(at).type) if i == at else b.column(i).cast(arrow.field(i).type) for i in range(width)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(more[f.name], type=arrow.field(f.name).type) for f in added.fields], schema=arrow)
 
-    if verdicts is not None:
-        sent = spark.sparkContext.broadcast(verdicts)
+    if learned.verdicts is not None:
+        sent = spark.sparkContext.broadcast(learned.verdicts)
         return docs.mapInArrow(lambda batches: run(batches, lambda b: [sent.value.members] * b.num_rows), schema)
 
-    return _joined(docs, members, min_chars, schema, run)
+    return _joined(docs, learned, min_chars, schema, run)
+
+
+def _passed(keys: DataFrame, learned: Learned) -> DataFrame:
+    """The keys (th, hi, lo) that their shard's filter holds. A shard with a very common line is many groups."""
+
+    def probe(held, asked):
+        f = CuckooFilter.from_bytes(held.column("filter")[0].as_py()) if held.num_rows else None
+        good = f.contains(asked.column("hi").to_numpy().view(np.uint64)) if f else np.zeros(asked.num_rows, bool)
+        return asked.select(["th", "hi", "lo"]).filter(_mask(good))
+
+    blocks = F.ceil(F.sum("n") / PROBED).cast("int").alias("blocks")
+    sizes = _sharded(learned.counts, learned.shards).groupBy("shard").agg(blocks)
+    asked = _sharded(keys, learned.shards).join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    held = learned.filters.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "filter")
+    return held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(probe, "th string, hi long, lo long")
 
 
-def _joined(docs: DataFrame, members: DataFrame, min_chars: int, schema, run) -> DataFrame:
-    """The way for members too many to be sent: lines join members by key, verdicts join documents by text hash."""
+def _joined(docs: DataFrame, learned: Learned, min_chars: int, schema, run) -> DataFrame:
+    """The way for filters too large to be sent: keys of lines meet the filters by shard, those that pass join the
+    members, and verdicts join documents by text hash."""
 
     def lines(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -319,9 +352,11 @@ def _joined(docs: DataFrame, members: DataFrame, min_chars: int, schema, run) ->
     hashed = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     texts = docs.select(hashed.alias("th"), "text")
     # One key is in many documents, but members are distinct: adaptive execution splits the large side of a hot key.
-    hits = common.arrow_map(texts, lines, "th string, hi long, lo long").distinct().join(members, ["hi", "lo"])
-    gone = hits.groupBy("th").agg(F.collect_list(F.struct("hi", "lo")).alias("__gone"))
-    joined = docs.withColumn("__th", hashed).join(gone.withColumnRenamed("th", "__th"), "__th", "left").select(*docs.columns, "__gone")
+    keys = common.arrow_map(texts, lines, "th string, hi long, lo long").distinct()
+    hits = _passed(keys, learned).join(learned.members, ["hi", "lo"])
+    th, list_ = common.free_name(docs, "th"), common.free_name(docs, "gone")
+    gone = hits.groupBy("th").agg(F.collect_list(F.struct("hi", "lo"))).toDF(th, list_)
+    joined = docs.join(gone, hashed == F.col(th), "left").drop(th)
     width = len(docs.columns)
 
     def drops_of(b):
