@@ -16,7 +16,8 @@ from burrstone.session import ensure_importable
 SPACE = " \t\n\x0b\x0c\r"
 #: Fixed rule: only A-Z are lower-cased.
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: Rows that Arrow hands to Python at once: documents may be long.
+#: Rows that Arrow hands to Python at once: documents may be long. Spark ends a batch by its bytes as well
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
 ARROW_ROWS = 1000
 
 
@@ -56,6 +57,14 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name with marks that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, in UTF-8: bytes know no other white space or capitals."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -1,11 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every word n-gram of a test item is a possible seed. One scan of the documents finds where they occur, lines the hits
-up with the item, and gives a window of the document for each place; how many documents hold each n-gram comes from
-the same windows. A seed is rare if few documents hold it, or if it is among the rarest that its window holds, so that
+up with the item, and gives a window of the document for each place that has enough of the item's words for some
+alignment to reach the bar, so a phrase that many documents and items have makes no windows; the same scan counts how
+many documents hold each n-gram. A seed is rare if few documents hold it, or if it is among the rarest that its window holds, so that
 every window has one, however often its passage was copied and whatever seeds the copies lost. Windows are aligned with
-the item, word by word, by Smith-Waterman (match 2, mismatch -1, gap -1); the score is a share of the item's own. Only
-windows with too few of the item's words to reach the bar by any alignment are left out. Edited copies lose some seeds
+the item, word by word, by Smith-Waterman (match 2, mismatch -1, gap -1); the score is a share of the item's own. Edited copies lose some seeds
 and some score, not all.
 
 Test items go to the tasks in blocks of at most BLOCK_GRAMS n-grams, each block one scan; documents are never broadcast
@@ -19,7 +19,7 @@ kept by clean_documents and otherwise not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -146,28 +146,32 @@ def _found(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
 
     def scan(batches: Iterator[dict]) -> Iterator[dict]:
         block, known = sent.value, common.WordHashes(REMEMBERED)
+        names = ("row_key", "doc_id", "item", "start", "keys", "window", "held")
+        seen: Counter = Counter()
         for b in batches:
-            out: dict = {k: [] for k in ("row_key", "doc_id", "item", "start", "keys", "window")}
+            out: dict = {k: [] for k in names}
             for row, doc, text in zip(b["row_key"], b["doc_id"], b["text"], strict=True):
                 h = known.at(words(text))
                 hits = block.hits(h)
+                seen.update({hit[3] for hit in hits})
                 for item, start, end, keys in _windows(hits, block.sizes, len(h)) if hits else ():
-                    out["row_key"].append(row)
-                    out["doc_id"].append(doc)
-                    out["item"].append(item)
-                    out["start"].append(start)
-                    out["keys"].append(sorted(keys))
-                    out["window"].append(h[start:end].tobytes())
+                    # Too few of the item's words for any alignment to reach the bar: no window.
+                    if most(block.words[item], h[start:end]) < BAR * MATCH * block.sizes[item]:
+                        continue
+                    for k, v in zip(names, (row, doc, item, start, sorted(keys), h[start:end].tobytes(), None), strict=True):
+                        out[k].append(v)
             yield out
+        # Last, in how many of the task's documents each n-gram was found: at most as many rows as the block has n-grams.
+        yield {k: [None] * len(seen) for k in names} | {"keys": [[k] for k in seen], "held": list(seen.values())}
 
-    schema = "row_key long, doc_id long, item int, start long, keys array<int>, window binary"
-    windows = cut(common.arrow_map(docs.select("row_key", "doc_id", "text"), scan, schema))
+    schema = "row_key string, doc_id long, item int, start long, keys array<int>, window binary, held long"
+    found = cut(common.arrow_map(docs.select("row_key", "doc_id", "text"), scan, schema))
     n = docs.count()
     # At most BLOCK_GRAMS rows: how many documents hold each n-gram.
-    held = windows.select("row_key", F.explode("keys").alias("key")).distinct().groupBy("key").count().collect()
+    held = found.where("held IS NOT NULL").groupBy(F.col("keys")[0].alias("key")).agg(F.sum("held").alias("n")).collect()
     df = np.zeros(len(items.keys), np.int64)
     for r in held:
-        df[r["key"]] = r["count"]
+        df[r["key"]] = r["n"]
     df_sent = spark.sparkContext.broadcast(df)
 
     def score(batches: Iterator[dict]) -> Iterator[dict]:
@@ -177,8 +181,6 @@ def _found(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
             for row, doc, item, start, keys, window in zip(*(b[k] for k in ("row_key", "doc_id", "item", "start", "keys", "window")), strict=True):
                 seeds = max(int((held_by[keys] <= RARE_DOCS * n).sum()), int(np.ceil(len(keys) * RARE_OF_WINDOW)))
                 text = np.frombuffer(window, np.uint64)
-                if most(block.words[item], text) / (MATCH * block.sizes[item]) < BAR:
-                    continue
                 s, a, e = align(block.words[item], text)
                 share = s / (MATCH * block.sizes[item])
                 if share >= BAR:
@@ -186,16 +188,21 @@ def _found(spark: SparkSession, docs: DataFrame, items: Items) -> DataFrame:
                         out[k].append(v)
             yield out
 
-    return common.arrow_map(windows, score, "row_key long, doc_id long, item_id long, score double, start long, stop long, seeds int")
+    return common.arrow_map(found.where("held IS NULL"), score, "row_key string, doc_id long, item_id long, score double, start long, stop long, seeds int")
+
+
+def row_key():
+    """A 128-bit hash of id and text, so that no clean document is taken for a found one."""
+    return F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row_key, doc_id, item_id, score, start, stop, seeds: for each document and item found in it, the best place.
 
-    row_key is a hash of id and text; start and stop count the document's words.
+    row_key is a 128-bit hash of id and text; start and stop count the document's words.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "row_key long, doc_id long, item_id long, score double, start long, stop long, seeds int"
+    keyed = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "row_key string, doc_id long, item_id long, score double, start long, stop long, seeds int"
     # The items stream to the driver; a block of them is held at a time.
     block_rows: list[tuple[int | None, list[bytes]]] = []
     found: list[DataFrame] = []
@@ -219,5 +226,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no test item. Spark broadcasts the found keys only if they are few."""
-    found = cut(contaminated(spark, docs, benchmark).select(F.col("row_key").alias("__key")).distinct())
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(found, "__key", "left_anti").drop("__key")
+    found = cut(contaminated(spark, docs, benchmark).select("row_key").distinct())
+    # The key is an expression of the join, and its name is none of the caller's.
+    name = common.free_name(docs, "row_key")
+    return docs.join(found.toDF(name), row_key() == F.col(name), "left_anti")

@@ -205,6 +205,17 @@ def test_contamination(spark):
     assert decontamination.contaminated(spark, docs.where("doc_id = 999"), items).count() == 0
 
 
+def test_columns_of_the_caller_keep_their_names_and_values(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SENT_BYTES", 0)
+    rows = [(i, "same line\nown %d" % i, "k%d" % i, i, [i], i, "x") for i in range(12)] + [(12, "a b c d e f g h", "k12", 1, None, 2, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, th int, gone array<int>, window int, __key string")
+    kept = linededup.clean_documents(spark, docs, 10, 1)
+    assert kept.columns == docs.columns
+    assert sorted((r["row_key"], r["th"], r["gone"], r["text"]) for r in kept.collect()) == sorted((r[2], r[3], r[4], r[1].replace("same line\n", "")) for r in rows)
+    clean = decontamination.clean_documents(spark, docs, spark.createDataFrame([(1, "A b c, d e f g h")], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(r["row_key"] for r in clean.collect()) == sorted(r[2] for r in rows[:-1])
+
+
 def test_a_passage_in_most_documents_is_still_found(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + " " + " ".join(ITEM)) for i in range(60)]
