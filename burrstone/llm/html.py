@@ -87,6 +87,12 @@ def _never(tag: str, attributes: str) -> bool:
     return False
 
 
+def _label(tag: str, attributes: str) -> str:
+    """Element and classes; a long list of classes by its hash, so that only equal lists are equal labels."""
+    classes = " ".join(sorted(re.findall(r"""class\s*=\s*["']?([^"'>]*)""", attributes)))
+    return f"{tag}.{classes if len(classes) <= 60 else xxhash.xxh3_128_hexdigest(classes)}"
+
+
 class Page:
     """A parsed page: nodes (label, parent, inside an article, never content) and blocks (node, text)."""
 
@@ -173,7 +179,7 @@ class Page:
             parent = stack[-1][1]
             inside = self.article[parent] or tag in ("article", "main")
             # Around an article no class counts; in it and beside it every kind does.
-            self.labels.append(tag + "." + " ".join(sorted(re.findall(r"""class\s*=\s*["']?([^"'>]*)""", attributes)))[:60])
+            self.labels.append(_label(tag, attributes))
             self.parents.append(parent)
             self.article.append(inside)
             root = tag in ("article", "main") and not self.article[parent]
