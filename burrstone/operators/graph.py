@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrstone.session import cut
 
 
+#: Pieces of a growing result that are written again as one piece.
+FAN = 8
+#: Means that travel as literals of one expression; more of them go to an Arrow function as one array.
+LITERAL_MEANS = 64
+
+
+class Grown:
+    """Rows that grow by a written piece each round. FAN pieces of one tier become one piece of the next, so a row is
+    written again a logarithmic number of times, and the plan over all pieces stays short however many rounds there are."""
+
+    def __init__(self, first: DataFrame):
+        self.tiers = [[first]]
+
+    def add(self, piece: DataFrame) -> None:
+        self.tiers[0].append(piece)
+        for k, tier in enumerate(self.tiers):
+            if len(tier) < FAN:
+                break
+            if k + 1 == len(self.tiers):
+                self.tiers.append([])
+            self.tiers[k + 1].append(cut(reduce(DataFrame.unionByName, tier)))
+            self.tiers[k] = []
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [piece for tier in self.tiers for piece in tier])
+
+
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, once each."""
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -65,34 +95,34 @@ def bfs(edges: DataFrame, roots: DataFrame, mode: str = "push", alpha: float = 2
     if mode not in ("push", "pull", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     edges = cut(edges.select("src", "dst").distinct())
-    out = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("d")).withColumnRenamed("src", "id"))
-    everything = cut(endpoints(edges))
-    n, remaining = everything.count(), edges.count()
-    seen = cut(roots.select(F.col("id").cast("long")).distinct().select("id", F.lit(0).alias("level"), F.col("id").alias("parent")))
-    frontier, level, pulling, last = seen.select("id"), 0, mode == "pull", 0
+    everything = cut(degrees(edges).select("id", F.col("out_degree").alias("d")))
+    n, remaining = everything.agg(F.count(F.lit(1)), F.coalesce(F.sum("d"), F.lit(0))).first()
+    start = cut(roots.select(F.col("id").cast("long")).distinct().join(everything, "id", "left").select(
+        "id", F.lit(0).alias("level"), F.col("id").alias("parent"), F.coalesce("d", F.lit(0).cast("long")).alias("d")
+    ))
+    seen, frontier, level, pulling, last = Grown(start), start, 0, mode == "pull", 0
     while level < most:
+        size, weight = frontier.agg(F.count(F.lit(1)), F.coalesce(F.sum("d"), F.lit(0))).first()
+        if not size:
+            break
+        remaining -= weight
         if mode == "hybrid":
-            size = frontier.count()
-            weight = frontier.join(out, "id").agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
-            remaining -= weight
             if not pulling and size > last and weight > max(1, remaining) / alpha:
                 pulling = True
             elif pulling and size < last and size < n / beta:
                 pulling = False
-            last = size
-        f = frontier.select(F.col("id").alias("src"))
+        last = size
+        f, known = frontier.select(F.col("id").alias("src")), seen.rows().select("id")
         if pulling:
-            left = everything.join(seen.select("id"), "id", "left_anti")
-            hit = left.join(edges.withColumnRenamed("dst", "id"), "id").join(f, "src", "left_semi")
-        else:
-            hit = f.join(edges, "src").withColumnRenamed("dst", "id").join(seen.select("id"), "id", "left_anti")
+            hit = everything.join(known, "id", "left_anti").join(edges.withColumnRenamed("dst", "id"), "id").join(f, "src", "left_semi")
+            new = hit.groupBy("id").agg(F.min("src").alias("parent"), F.first("d").alias("d"))
+        else:  # one row for each vertex that is hit before it meets what is known
+            hit = f.join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+            new = hit.join(known, "id", "left_anti").join(everything, "id")
         level += 1
-        new = cut(hit.groupBy("id").agg(F.min("src").alias("parent")).select("id", F.lit(level).alias("level"), "parent"))
-        if new.isEmpty():
-            break
-        seen = cut(seen.unionByName(new))
-        frontier = new.select("id")
-    return seen
+        frontier = cut(new.select("id", F.lit(level).alias("level"), "parent", "d"))
+        seen.add(frontier)
+    return cut(seen.rows().select("id", "level", "parent"))
 
 
 def bfs_violations(edges: DataFrame, tree: DataFrame, root: int) -> DataFrame:
@@ -119,20 +149,20 @@ def sssp(edges: DataFrame, root: int, most: int = 10_000) -> DataFrame:
     edges = cut(edges.select("src", "dst", "weight"))
     spark = edges.sparkSession
     start = spark.range(root, root + 1).select("id", F.lit(0.0).alias("dist"), F.col("id").alias("parent"))
-    known = cut(start)
-    active = known
+    active = cut(start)
+    known = Grown(active)
+    best = F.min(F.struct("dist", "parent")).alias("best")
     for _ in range(most):
-        sent = active.select(F.col("id").alias("src"), "dist").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(
-            F.min(F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("parent"))).alias("best")
-        ).select("id", F.col("best.dist").alias("nd"), F.col("best.parent").alias("np"))
-        better = cut(sent.join(known.select("id", "dist"), "id", "left").where(F.col("dist").isNull() | (F.col("nd") < F.col("dist"))).select(
-            "id", F.col("nd").alias("dist"), F.col("np").alias("parent")
-        ))
-        if better.isEmpty():
+        sent = active.select(F.col("id").alias("src"), F.col("dist").alias("ds")).join(edges, "src").select(
+            F.col("dst").alias("id"), (F.col("ds") + F.col("weight")).alias("dist"), F.col("src").alias("parent")
+        ).groupBy("id").agg(best).select("id", "best.*")
+        # A vertex has a row for each time its distance fell, and the least of them is the last.
+        old = known.rows().groupBy("id").agg(F.min("dist").alias("old"))
+        active = cut(sent.join(old, "id", "left").where(F.col("old").isNull() | (F.col("dist") < F.col("old"))).select("id", "dist", "parent"))
+        if active.isEmpty():
             break
-        known = cut(known.join(better.select("id"), "id", "left_anti").unionByName(better))
-        active = better
-    return known
+        known.add(active)
+    return cut(known.rows().groupBy("id").agg(best).select("id", "best.*"))
 
 
 def sssp_violations(edges: DataFrame, tree: DataFrame, root: int) -> DataFrame:
@@ -148,15 +178,22 @@ def sssp_violations(edges: DataFrame, tree: DataFrame, root: int) -> DataFrame:
 
 
 def min_label(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, component) by the least label that neighbours send, with pointer jumping; only changed labels send again."""
+    """(id, component) by the least label that neighbours send, with pointer jumping; only changed labels send again.
+
+    A label may be that of most vertices. Such labels are counted: those with more than an even share of a shuffle
+    partition are at most as many as partitions, so they are broadcast, and only the other labels are shuffled."""
     e = cut(symmetrize(edges))
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = cut(e.groupBy(F.col("src").alias("id")).agg(F.least(F.min("src"), F.min("dst")).alias("component")))
-    active = labels
+    n, active = labels.count(), labels
     for _ in range(most):
         sent = active.select(F.col("id").alias("src"), "component").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("m"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jumped"))
+        hot = cut(labels.groupBy("component").count().where(F.col("count") * parts > n).join(jump, "component").select("component", "jumped"))
+        marked = labels.join(sent, "id", "left").join(F.broadcast(hot), "component", "left")
+        cold = marked.where(F.col("jumped").isNull()).drop("jumped").join(jump, "component", "left")
         new = cut(
-            labels.join(sent, "id", "left").join(jump, "component", "left")
+            marked.where(F.col("jumped").isNotNull()).unionByName(cold)
             .select("id", F.col("component").alias("old"), F.least("component", "m", "jumped").alias("component"))
         )
         active = new.where("component < old").select("id", "component")
@@ -289,12 +326,27 @@ def n_queens(spark, n: int) -> DataFrame:
     return boards.agg(F.count(F.lit(1)).alias("solutions"))
 
 
-def kmeans(points: DataFrame, dims: Sequence[str], start: Sequence[Sequence[float]], rounds: int, tolerance: float | None = None) -> list[list[float]]:
-    """Lloyd's means from given ones. The means are k short rows, so they travel as literals; sums and counts are combined
-    before the shuffle, and only k rows come back. A mean without points stays; ties go to the first mean."""
+def normalised(points: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Each dimension divided by its sum over all points; a dimension whose sum is zero or null stays as it is."""
+    sums = points.agg(*[F.sum(d).alias(f"__sum_{d}") for d in dims])
+    scaled = {d: F.when(F.col(f"__sum_{d}") != 0, F.col(d) / F.col(f"__sum_{d}")).otherwise(F.col(d)) for d in dims}
+    return points.crossJoin(F.broadcast(sums)).withColumns(scaled).drop(*[f"__sum_{d}" for d in dims])
+
+
+def kmeans(
+    points: DataFrame, dims: Sequence[str], start: Sequence[Sequence[float]], rounds: int, tolerance: float | None = None,
+    fraction: float | None = None, seed: int = 0,
+) -> list[list[float]]:
+    """Lloyd's means from given ones. The means are k short rows, so they travel with the expression; sums and counts are
+    combined before the shuffle, and only k rows come back. A mean without points stays; ties go to the first mean.
+
+    Stops after some rounds, or once the squared moves of all means sum up to at most the tolerance. With a fraction each
+    round takes another random share of the points, which is the sampled form of the operator."""
+    points = cut(points.select(*dims))
     means = [list(map(float, m)) for m in start]
-    for _ in range(rounds):
-        rows = points.groupBy(nearest_mean(dims, means).alias("m")).agg(*[F.avg(d).alias(d) for d in dims]).collect()
+    for k in range(rounds):
+        taken = points if fraction is None else points.sample(fraction, seed + k)
+        rows = taken.groupBy(nearest_mean(dims, means).alias("m")).agg(*[F.avg(d).alias(d) for d in dims]).collect()
         new = [list(m) for m in means]
         for r in rows:
             new[r["m"]] = [float(r[d]) for d in dims]
@@ -306,7 +358,9 @@ def kmeans(points: DataFrame, dims: Sequence[str], start: Sequence[Sequence[floa
 
 
 def nearest_mean(dims: Sequence[str], means: Sequence[Sequence[float]]) -> Column:
-    """The number of the nearest mean by squared distance."""
+    """The number of the nearest mean by squared distance. Both forms add the dimensions in one order, so they agree."""
+    if len(means) > LITERAL_MEANS:
+        return _nearest_of_many(dims, means)
     distances = []
     for k, m in enumerate(means):
         d = None
@@ -315,3 +369,19 @@ def nearest_mean(dims: Sequence[str], means: Sequence[Sequence[float]]) -> Colum
             d = term if d is None else d + term
         distances.append(F.struct(d.alias("d"), F.lit(k).alias("k")))
     return F.array_min(F.array(*distances))["k"]
+
+
+def _nearest_of_many(dims: Sequence[str], means: Sequence[Sequence[float]]) -> Column:
+    at = np.array(means, float)
+
+    @F.pandas_udf("int")
+    def nearest(point: pd.DataFrame) -> pd.Series:
+        x, out = point.to_numpy(float), np.empty(len(point), "i4")
+        for i in range(0, len(x), 1024):
+            d = np.zeros((len(x[i : i + 1024]), len(at)))
+            for j in range(at.shape[1]):
+                d += (x[i : i + 1024, j, None] - at[None, :, j]) ** 2
+            out[i : i + 1024] = d.argmin(1)
+        return pd.Series(out)
+
+    return nearest(F.struct(*[F.col(d).cast("double").alias(f"c{i}") for i, d in enumerate(dims)]))

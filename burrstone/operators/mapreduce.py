@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 def map_reduce(
     df: DataFrame,
     mapper: Callable[[dict], Iterable[tuple]],
-    reducer: Callable[[object, list], Iterable[tuple]],
+    reducer: Callable[[object, Iterable], Iterable[tuple]],
     pairs: str,
     out: str,
     combiner: Callable[[object, list], Iterable[tuple]] | None = None,
@@ -20,8 +20,8 @@ def map_reduce(
     """mapper(row) gives (key, value) pairs, reducer(key, values) gives rows of schema out.
 
     pairs is "key type, value type". A combiner runs on what a task has gathered before the shuffle, at most buffer keys
-    at a time, and must give pairs again. Values of one key meet in one reducer call, so a mapper whose keys are few and
-    hot needs a combiner (or AGG functions, which combine by themselves).
+    at a time, and must give pairs again. Values of one key meet in one reducer call, which gets them as an iterator over
+    Arrow batches and can read them once, so a hot key takes time but no memory; a combiner saves the time as well.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,7 +29,7 @@ def map_reduce(
 
     emitted, given = _parse_datatype_string(pairs), _parse_datatype_string(out)
     arrow, key = to_arrow_schema(emitted), emitted.fieldNames()[0]
-    result, value = to_arrow_schema(given).names, emitted.fieldNames()[1]
+    result, value = to_arrow_schema(given), emitted.fieldNames()[1]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
@@ -51,9 +51,14 @@ def map_reduce(
         if held:
             yield table([kv for k, vs in held.items() for kv in combiner(k, vs)])
 
-    def reduced(keys, pdf):
-        import pandas as pd
+    def reduced(keys, batches):
+        values = (v for b in batches for v in b.column(value).to_pylist())
+        rows = iter(reducer(keys[0].as_py(), values))
+        while some := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], type=f.type) for i, f in enumerate(result)], schema=result)
+        for _ in values:  # what the reducer left unread
+            pass
 
-        return pd.DataFrame(list(reducer(keys[0], pdf[value].tolist())), columns=result)
-
-    return df.mapInArrow(mapped, pairs).groupBy(key).applyInPandas(reduced, out)
+    # Spark tells the form that reads batches by its annotations.
+    reduced.__annotations__ = {"keys": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return df.mapInArrow(mapped, pairs).groupBy(key).applyInArrow(reduced, out)

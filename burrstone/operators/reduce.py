@@ -71,14 +71,33 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def quartiles(df: DataFrame, value: str) -> DataFrame:
-    """Exact quartiles with mean, deviation, harmonic mean and its deviation (of positive values)."""
-    inverse = 1 / F.col(value)
-    return df.agg(
-        F.min(value).alias("least"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.75)).alias("q3"), F.max(value).alias("largest"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("stddev"), (F.count(value) / F.sum(inverse)).alias("harmonic_mean"),
-        (F.stddev_samp(inverse) / F.sqrt(F.count(value) - 1) * F.pow(F.count(value) / F.sum(inverse), F.lit(2))).alias("harmonic_stddev"),
+    """Exact quartiles (interpolated between the two ranks beside them) with mean, deviation, harmonic mean and its
+    deviation (of positive values). Nulls take no part; an empty input gives nulls.
+
+    Ranks come from counts of distinct values and a prefix sum over their ranges, so no buffer holds all values."""
+    from burrstone.operators.ordering import prefix_sum
+
+    x = df.select(F.col(value).alias("x")).where(F.col("x").isNotNull())
+    ranked = prefix_sum(x.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "n", ["x"])
+    n = ranked.agg(F.sum("n")).first()[0] or 0
+
+    def at(rank: int) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (F.col("before") + F.col("n") > rank), F.col("x").cast("double")))
+
+    def quantile(share: float) -> Column:
+        place = share * max(0, n - 1)
+        low, part = int(place), place - int(place)
+        return at(low) * (1 - part) + at(low + 1) * part if part else at(low)
+
+    cuts = ranked.agg(quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3"))
+    inverse = 1 / F.col("x")
+    rest = x.agg(
+        F.min("x").alias("least"), F.max("x").alias("largest"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("stddev"), (F.count("x") / F.sum(inverse)).alias("harmonic_mean"),
+        (F.stddev_samp(inverse) / F.sqrt(F.count("x") - 1) * F.pow(F.count("x") / F.sum(inverse), F.lit(2))).alias("harmonic_stddev"),
     )
+    names = ["least", "q1", "median", "q3", "largest", "mean", "stddev", "harmonic_mean", "harmonic_stddev"]
+    return rest.crossJoin(F.broadcast(cuts)).select(*names)  # one row each
 
 
 def views(dims: Sequence[str]) -> list[tuple[str, ...]]:
@@ -96,13 +115,19 @@ def cube_lattice(df: DataFrame, dims: Sequence[str], measures: Sequence[str]) ->
     """The same from the finest view down the lattice: each view sums the view with one more dimension.
 
     Catalyst's CUBE copies every input row 2**n times before it sums; here the input is read and summed once, and each
-    coarser view reads a finer view, which is why this form is for many dimensions.
+    coarser view reads the smallest of the views with one more dimension, which is why this form is for many dimensions.
+    Sizes of all views are estimated in one pass over the finest; an estimate only chooses among parents that give the
+    same sums.
     """
     from burrstone.session import cut
 
-    done = {tuple(dims): cut(df.groupBy(*dims).agg(*[F.sum(m).alias(m) for m in measures]))}
-    for v in sorted(views(dims), key=len, reverse=True)[1:]:
-        parent = next(tuple(d for d in dims if d in v or d == extra) for extra in dims if extra not in v)
+    finest = cut(df.groupBy(*dims).agg(*[F.sum(m).alias(m) for m in measures]))
+    lattice = sorted(views(dims), key=len, reverse=True)
+    # Nulls are values of a dimension too, so views are hashed and not counted as they are.
+    sizes = dict(zip(lattice, finest.agg(*[F.approx_count_distinct(F.xxhash64(*v)).alias(f"s{i}") for i, v in enumerate(lattice)]).first(), strict=True))
+    done = {tuple(dims): finest}
+    for v in lattice[1:]:
+        parent = min((tuple(d for d in dims if d in v or d == extra) for extra in dims if extra not in v), key=sizes.get)
         done[v] = done[parent].groupBy(*v).agg(*[F.sum(m).alias(m) for m in measures])
     types = dict(df.dtypes)
     out = None

@@ -89,13 +89,8 @@ def schema_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matrix_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.scratch(spark, "mm")
     lower = weighted(edges(spark, sf_dir)).where("src > dst").select((F.col("src") + 1).alias("i"), (F.col("dst") + 1).alias("j"), F.col("weight").alias("v"))
-    files.write_matrix(lower, path)
-    # The same lines under a symmetric header, with a comment.
-    text = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    again = files.scratch(spark, "mms")
-    head = F.regexp_replace("value", "general$", "symmetric\n% lower triangle")
-    text.coalesce(1).sortWithinPartitions("at").select(head.alias("value")).write.text(again)
-    return files.read_matrix(spark, again)
+    files.write_matrix(lower, path, "symmetric", "lower triangle")
+    return files.read_matrix(spark, path)
 
 
 @query("array_pieces", "SELECT c_custkey AS idx, c_nationkey::BIGINT AS value FROM customer")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -94,7 +95,8 @@ def write_packed(df: DataFrame, path: str, cell: str = "long") -> None:
     from pyarrow import fs as pafs
 
     dtype = CELLS[cell][0]
-    uri = path if "://" in path else path.removeprefix("file:")
+    # Hadoop's names of the S3 store are unknown to pyarrow, which calls it s3.
+    uri = re.sub(r"^s3[an]://", "s3://", path) if "://" in path else path.removeprefix("file:")
     system, top = pafs.FileSystem.from_uri(uri)
     system.create_dir(top)
 
@@ -150,9 +152,12 @@ def read_schema(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """i, j, v of a coordinate file, values kept and symmetric entries expanded (skew ones negated). A pattern is 1."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    head = lines.orderBy("at").first()["value"].lower().split()
-    if head[:3] != ["%%matrixmarket", "matrix", "coordinate"] or head[3] not in ("real", "double", "integer", "pattern"):
+    # The first part by name holds the header, and the first line of a file that is no comment its sizes.
+    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", place.alias("at"))
+    first = lines.agg(F.min_by("value", "at")).first()[0]
+    head = (first or "").lower().split()
+    if head[:3] != ["%%matrixmarket", "matrix", "coordinate"] or len(head) < 5 or head[3] not in ("real", "double", "integer", "pattern"):
         raise ValueError(f"{path}: not a coordinate matrix of a known field: {' '.join(head)}")
     symmetry = head[4]
     data = lines.where(~F.col("value").rlike(r"^\s*(%|$)"))
@@ -168,13 +173,14 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return entries.union(entries.where("i <> j").select("j", "i", F.col("v") * sign))
 
 
-def write_matrix(entries: DataFrame, path: str) -> None:
-    """One coordinate file: its header needs the sizes, and its lines one order, so it is written by one task."""
+def write_matrix(entries: DataFrame, path: str, symmetry: str = "general", note: str | None = None) -> None:
+    """A coordinate matrix in parts: the first part has the header and the sizes, the others the entries, each sorted.
+    Joined in order of their names the parts are one file of the format. Of a symmetric matrix one triangle is given."""
     s = entries.agg(F.max("i"), F.max("j"), F.count(F.lit(1))).first()
-    spark = entries.sparkSession
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{s[0] or 0} {s[1] or 0} {s[2]}")], "k long, value string")
-    body = entries.select(F.lit(2).cast("long").alias("k"), F.concat_ws(" ", "i", "j", "v").alias("value"))
-    head.union(body).coalesce(1).sortWithinPartitions("k", "value").select("value").write.text(path)
+    lines = [f"%%MatrixMarket matrix coordinate real {symmetry}", *([f"% {note}"] if note else []), f"{s[0] or 0} {s[1] or 0} {s[2]}"]
+    head = entries.sparkSession.createDataFrame([(line,) for line in lines], "value string")
+    body = entries.sortWithinPartitions("i", "j").select(F.concat_ws(" ", "i", "j", "v").alias("value"))
+    head.coalesce(1).union(body).write.text(path)
 
 
 # ---- edges by format

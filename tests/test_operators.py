@@ -188,3 +188,54 @@ def test_kmeans_exact_means(spark):
     p = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (10.0, 10.0), (10.0, 11.0), (9.0, 10.0)], "a double, b double")
     means = graph.kmeans(p, ["a", "b"], [[0.0, 0.0], [10.0, 10.0]], 5, tolerance=0.0)
     assert means[0] == [0.0, 0.5] and means[1] == pytest.approx([29 / 3, 31 / 3])
+
+
+def test_grown_pieces_keep_every_row(spark):
+    g = graph.Grown(spark.range(0, 1))
+    for k in range(1, 20):
+        g.add(spark.range(k, k + 1))
+    assert sorted(r["id"] for r in g.rows().collect()) == list(range(20))
+    assert sum(map(len, g.tiers)) < 2 * graph.FAN
+
+
+def test_search_and_distances_over_more_rounds_than_pieces(spark):
+    """A path with a longer way round: distances fall in later rounds, and pieces are merged on the way."""
+    path = [(i, i + 1, 1.0) for i in range(20)] + [(0, 20, 50.0)]
+    e = spark.createDataFrame(path, "src long, dst long, weight double")
+    assert sorted(map(tuple, graph.sssp(e, 0).collect())) == [(i, float(i), max(0, i - 1)) for i in range(21)]
+    chain = e.where("dst <> 20").select("src", "dst")
+    for mode in ("push", "pull", "hybrid"):
+        assert sorted(map(tuple, graph.bfs(chain, spark.range(1), mode).collect())) == [(i, i, max(0, i - 1)) for i in range(20)]
+    alone = graph.bfs(chain, spark.range(99, 100)).collect()
+    assert [tuple(r) for r in alone] == [(99, 0, 99)]
+
+
+def test_many_means_agree_with_literals(spark, monkeypatch):
+    p = spark.createDataFrame([(float(i % 7), float(i % 5)) for i in range(40)], "a double, b double")
+    start = [[float(i), float(i % 3)] for i in range(6)]
+    want = graph.kmeans(p, ["a", "b"], start, 4)
+    monkeypatch.setattr(graph, "LITERAL_MEANS", 2)
+    assert graph.kmeans(p, ["a", "b"], start, 4) == want
+    assert len(graph.kmeans(p, ["a", "b"], start, 2, fraction=0.5)) == 6
+
+
+def test_normalised_points(spark):
+    p = spark.createDataFrame([(1.0, 0.0), (3.0, 0.0)], "a double, b double")
+    assert sorted(map(tuple, graph.normalised(p, ["a", "b"]).collect())) == [(0.25, 0.0), (0.75, 0.0)]
+
+
+@pytest.mark.parametrize("values", [[], [None], [5.0], [1.0, 2.0, 2.0, 10.0, None], [float(x * x % 17) for x in range(50)]])
+def test_quartiles_by_rank(spark, values):
+    import numpy as np
+
+    row = reduce.quartiles(spark.createDataFrame([(v,) for v in values], "v double"), "v").select("q1", "median", "q3").first()
+    held = [v for v in values if v is not None]
+    want = np.percentile(held, [25, 50, 75]).tolist() if held else [None] * 3
+    assert list(row) == (pytest.approx(want) if held else want)
+
+
+def test_reducer_streams_values_and_may_stop_early(spark):
+    df = spark.range(25_000).selectExpr("id", "id % 2 as k")
+    first = lambda k, vs: [(k, next(iter(vs)) % 2)]
+    out = mapreduce.map_reduce(df, lambda r: [(r["k"], r["id"])], first, "k long, v long", "k long, parity long")
+    assert sorted(map(tuple, out.collect())) == [(0, 0), (1, 1)]

@@ -58,6 +58,18 @@ def test_matrix_market(spark, tmp_path, field, symmetry, want):
     assert tuples(files.read_matrix(spark, str(tmp_path / "m.mtx"))) == want
 
 
+def test_matrix_in_parts_joined_is_one_file(spark, tmp_path):
+    entries = spark.range(1, 400, 1, 5).selectExpr("id as i", "400 - id as j", "id / 2.0 as v")
+    files.write_matrix(entries, str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    assert len(parts) > 1
+    (tmp_path / "one.mtx").write_text("".join(p.read_text() for p in parts))
+    for path in ("m", "one.mtx"):
+        assert tuples(files.read_matrix(spark, str(tmp_path / path))) == [(i, 400 - i, i / 2) for i in range(1, 400)]
+    files.write_matrix(entries.limit(0), str(tmp_path / "none"))
+    assert tuples(files.read_matrix(spark, str(tmp_path / "none"))) == []
+
+
 def test_text_to_packed_rejects_other_arity(spark, tmp_path):
     (tmp_path / "t.txt").write_text("1,2\n3\n")
     with pytest.raises(Exception, match="arity"):
