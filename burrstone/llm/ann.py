@@ -4,10 +4,15 @@ Vectors are lifted onto a sphere of one more dimension, so that the largest inne
 TABLES tables hashes a lifted vector by floor((a . x + b) / W) for several Gaussian-stable directions a; directions
 of a table, and of as many tables as fit, are rows of one random rotation, so they tell different things. W and b are
 set so that the two cells beside the median of each direction hold nearly all vectors. A query does not look into its
-own bucket alone: given how far neighbours lie (fitted on a sample), the chance that one falls into a bucket is the
-product over directions of the normal mass of the cell around the query's projection, and buckets are visited in
-falling order of that chance until their chances sum to the table's share of TARGET. Candidates of all tables are
-merged, and their scores are exact inner products of the original vectors in double precision.
+own bucket alone: given where neighbours lie (a model fitted on the nearest vectors of a sample, which tells their
+length too), the chance that one falls into a bucket is the product over directions of the normal mass of the cell
+around the query's projection. Buckets are perturbed from the likeliest one, only as far as needed, and visited in
+falling order of that chance until their chances sum to the table's share of a target. The target is the least one of
+TARGETS at which queries from the sample find RECALL of their neighbours there. Candidates of all tables are merged,
+and their scores are exact inner products of the original vectors in double precision.
+
+Buckets grow in number with the vectors, as long as a query of the sample visits at most PROBES of a table: where
+neighbours stand out there are as many as one to IN_BUCKET vectors, where they do not (random vectors) each holds more.
 
 Layout: the buckets of a table are cut into regions, regions with many vectors into blocks of at most VECTORS by a hash
 of the id, the queries of a region into blocks of at most QUERIES. One group is one block of vectors with one block of
@@ -26,7 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,11 +39,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TABLES, TARGET = 8, 0.92
-#: Vectors of the sample that shows how far neighbours lie, and the factor by which they are taken to lie farther.
+TABLES = 8
+#: Chances of a neighbour to be visited that are tried in turn, and the share of neighbours to be found in the sample.
+TARGETS, RECALL = (0.92, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 0.9999), 0.95
+#: Vectors of the sample that shows where neighbours lie, and the factor by which they are taken to lie farther.
 SAMPLE, SAFE = 4096, 0.95
-#: Vectors in a bucket, about; and most directions of a table.
-IN_BUCKET, MOST_BITS = 6, 14
+#: Vectors of the sample whose mean place stands for that of a query's neighbours, those whose mean length does, and
+#: queries that calibrate the target.
+NEAR, NEAREST, TRIED = 128, 8, 128
+#: Vectors in a bucket, about; fewest and most directions of a table where vectors allow; visits to a table, about.
+IN_BUCKET, FEW_BITS, MOST_BITS, PROBES = 6, 8, 30, 512
 #: Vectors and queries of a group.
 VECTORS, QUERIES = 32_768, 4_096
 #: Width of a cell in standard deviations of a projection.
@@ -59,6 +69,7 @@ class Index:
     sample_ids: np.ndarray
     rank: int  # of the neighbour in the sample that stands for the k-th among all
     region_bits: int
+    target: float = TARGETS[0]
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors on the unit sphere of one more dimension, where nearest by angle is largest by inner product."""
@@ -77,31 +88,55 @@ class Index:
     def codes(self, x: np.ndarray, table: int) -> np.ndarray:
         return self.cells(self.lifted(x), table) @ (1 << np.arange(self.bits, dtype=np.int64)[::-1])
 
-    def nearness(self, q: np.ndarray, own_id: int) -> float:
-        """The similarity of a k-th neighbour of a query, a little less to be safe: that of the same rank in the sample,
-        or of the nearest there if the sample is too thin. Dense groups and lonely queries each have their own."""
-        s = self.sample @ self.lifted_query(q)
-        s = s[self.sample_ids != own_id]
-        if not len(s):
-            return 0.05
-        rank = min(self.rank, len(s))
-        return float(np.clip(SAFE * np.partition(s, len(s) - rank)[len(s) - rank], 0.05, 0.999))
-
-    def probes(self, q: np.ndarray, table: int, rho: float) -> np.ndarray:
-        """Codes in falling order of the chance that a neighbour of similarity rho is there, up to the table's share of
-        TARGET. Beside the query's direction a neighbour is like any other vector: around their mean, with the rest of
-        its length spread evenly."""
-        of, mean = self.lifted_query(q), self.sample.mean(0)
+    def neighbour(self, q: np.ndarray, own_id: int) -> tuple[np.ndarray, float]:
+        """Where a k-th neighbour of a query lies, and how far it strays from there. Along the query it has the
+        similarity, a little less to be safe, of the same rank in the sample, or of the nearest there if the sample is
+        too thin. Beside the query it lies like the mean of the nearest, with the rest of its length spread evenly."""
+        of = self.lifted_query(q)
+        s = self.sample @ of
+        s[self.sample_ids == own_id] = -np.inf
+        n = int(np.isfinite(s).sum())
+        if not n:
+            return 0.05 * of, 1.0
+        near = np.argsort(-s, kind="stable")[: min(n, max(NEAR, self.rank))]
+        rank = min(self.rank, n)
+        rho = s[near[rank - 1]]
+        rho = float(np.clip(rho - (1 - SAFE) * abs(rho), -0.999, 0.999))
+        mean = self.sample[near].mean(0)
+        mean[-1] = self.sample[near[: max(rank, NEAREST)], -1].mean()  # their length
         aside = mean - (mean @ of) * of
-        spread = math.sqrt(max(1e-6, 1 - rho * rho - aside @ aside))
-        at = (rho * of + aside) @ self.directions[table] + self.offsets[table]
-        up = np.array([0.5 * math.erfc(-v / (spread * math.sqrt(2))) for v in at])
-        chance = np.ones(1)
-        for p in up:
-            chance = np.stack([chance * (1 - p), chance * p], axis=1).ravel()
-        order = np.argsort(-chance, kind="stable")
-        share = 1 - (1 - TARGET) ** (1 / len(self.directions))
-        return order[: int(np.searchsorted(np.cumsum(chance[order]), share)) + 1]
+        return rho * of + aside, math.sqrt(max(1e-6, 1 - rho * rho - aside @ aside))
+
+    def probes(self, at: np.ndarray, spread: float, table: int, target: float | None = None) -> np.ndarray:
+        """Codes in falling order of the chance that a neighbour is there, up to the table's share of the target."""
+        z = (at @ self.directions[table] + self.offsets[table]) / (spread * math.sqrt(2))
+        up = np.array([0.5 * math.erfc(-v) for v in z])
+        return likeliest(up, 1 - (1 - (target or self.target)) ** (1 / len(self.directions)))
+
+
+def likeliest(up: np.ndarray, share: float) -> np.ndarray:
+    """Codes of bits, each 1 with its chance and independent of the others, in falling order of chance (ties by the order
+    of perturbation) until they sum to the share. A code is the likeliest one with some bits flipped; each flip costs the
+    logarithm of its odds, and only codes that cost at most a limit are made, which grows until they suffice."""
+    bits = len(up)
+    place = np.int64(1) << np.arange(bits, dtype=np.int64)[::-1]
+    low, high = np.maximum(np.minimum(up, 1 - up), 1e-300), np.maximum(up, 1 - up)
+    best, cost = float(np.prod(high)), np.log(high / low)
+    order = np.argsort(cost, kind="stable")
+    limit = 2.0
+    while True:
+        sums, codes = np.zeros(1), np.array([int(place[up > 0.5].sum())], np.int64)
+        for i in order:
+            if cost[i] > limit:
+                break
+            more = sums + cost[i]
+            kept = more <= limit
+            sums, codes = np.append(sums, more[kept]), np.append(codes, codes[kept] ^ place[i])
+        if best * np.exp(-sums).sum() >= share or len(sums) == 1 << bits or limit > 1400 * bits:
+            break
+        limit *= 1.4
+    ranked = np.argsort(sums, kind="stable")
+    return codes[ranked][: int(np.searchsorted(np.cumsum(best * np.exp(-sums[ranked])), share)) + 1]
 
 
 def fit(vectors: DataFrame, k: int) -> Index | None:
@@ -118,19 +153,61 @@ def fit(vectors: DataFrame, k: int) -> Index | None:
     s, ids = s[once], ids[once]
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
     n, largest = vectors.where(F.size("v") == dims).agg(F.count(F.lit(1)), F.max(norm)).first()
-    bits = max(1, min(MOST_BITS, dims + 1, round(math.log2(max(2, n / IN_BUCKET)))))
+    base = Index(dims, largest, 0, np.zeros((0, dims + 1, 0)), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, dims + 1)), ids, max(1, round(k * drawn_rows / max(1, n))), 0)
+    base.sample = base.lifted(s)
+    most = max(1, min(MOST_BITS, dims + 1, round(math.log2(max(2, n / IN_BUCKET)))))
+    index = None
+    for bits in sorted({min(most, b) for b in range(FEW_BITS, MOST_BITS + 1)}):
+        finer, visits = _calibrated(_with_bits(base, bits, n))
+        if index is not None and visits > PROBES:
+            break
+        index = finer
+    return index
+
+
+def _with_bits(base: Index, bits: int, n: int) -> Index:
     rng = np.random.default_rng(7)
+    side = base.dims + 1
     directions: list[np.ndarray] = []
     while len(directions) < TABLES:
-        rotation = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0] * math.sqrt(dims + 1)
-        directions += [rotation[:, i : i + bits] for i in range(0, dims + 2 - bits, bits)]
+        rotation = np.linalg.qr(rng.standard_normal((side, side)))[0] * math.sqrt(side)
+        directions += [rotation[:, i : i + bits] for i in range(0, side + 1 - bits, bits)]
     a = np.stack(directions[:TABLES])
+    projected = np.einsum("nd,tdb->tnb", base.sample, a, optimize=True)
     region_bits = min(bits, max(0, math.ceil(math.log2(max(1, n / VECTORS)))))
-    index = Index(dims, largest, bits, a, np.zeros((TABLES, bits)), np.ones((TABLES, bits)), np.zeros((0, dims + 1)), ids, max(1, round(k * drawn_rows / max(1, n))), region_bits)
-    index.sample = index.lifted(s)
-    projected = np.einsum("nd,tdb->tnb", index.sample, a)
-    index.width, index.offsets = CELL * np.maximum(projected.std(1), 1e-9), -np.median(projected, axis=1)
-    return index
+    return replace(
+        base, bits=bits, directions=a, offsets=-np.median(projected, axis=1), width=CELL * np.maximum(projected.std(1), 1e-9), region_bits=region_bits
+    )
+
+
+def _calibrated(index: Index) -> tuple[Index, float]:
+    """The index with the least target at which queries of the sample find RECALL of their neighbours in it, and the
+    visits to a table that this takes. The sample's ids are in order of a hash, so its first rows are drawn at random."""
+    tried = np.random.default_rng(11).permutation(len(index.sample))[:TRIED]
+    place = 1 << np.arange(index.bits, dtype=np.int64)[::-1]
+    codes = [index.cells(index.sample, t) @ place for t in range(len(index.directions))]
+    queries = []
+    for i in tried:
+        q = index.sample[i, :-1]
+        scores = index.sample[:, :-1] @ q
+        scores[i] = -np.inf
+        if len(scores) > 1:
+            rank = min(index.rank, len(scores) - 1)
+            queries.append((*index.neighbour(q, index.sample_ids[i]), np.argpartition(-scores, rank - 1)[:rank]))
+    visits = 0.0
+    for target in TARGETS:
+        found, seen = [], 0
+        for at, spread, near in queries:
+            hit = np.zeros(len(near), bool)
+            for t, code in enumerate(codes):
+                visited = index.probes(at, spread, t, target)
+                seen += len(visited)
+                hit |= np.isin(code[near], visited)
+            found.append(hit.mean())
+        visits = seen / max(1, len(queries) * len(codes))
+        if not found or np.mean(found) >= RECALL:
+            break
+    return replace(index, target=target), visits
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -235,9 +312,9 @@ def nearest(spark: SparkSession, df: DataFrame, is_query, k: int = 20) -> DataFr
             out: dict = {c: [] for c in ("t", "region", "query", "codes", "of")}
             for i, v in zip(b["query"], b["of"], strict=True):
                 q = np.array(v, float)
-                rho = ix.nearness(q, i)
+                at, spread = ix.neighbour(q, i)
                 for t in range(len(ix.directions)):
-                    codes = ix.probes(q, t, rho)
+                    codes = ix.probes(at, spread, t)
                     region = codes >> (ix.bits - ix.region_bits)
                     for r in np.unique(region):
                         for c, x in zip(out, (t, int(r), i, codes[region == r], v), strict=True):

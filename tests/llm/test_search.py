@@ -150,3 +150,35 @@ def test_constant_blocks_inside_articles_are_template(spark):
     got = {r["page_id"]: r["text"] for r in html.main_text(spark, df).collect()}
     assert all(got[i] == "\n\n".join([f"Title {i}", *told(i)]) for i in range(8))
     assert got[22] == "\n\n".join(["Title 0", "All rights with us", *text[:5], "edition 2", "Read on at our shop"])
+
+
+@pytest.mark.parametrize("bits", [1, 5, 9])
+def test_likeliest_codes_against_all_codes(bits):
+    rng = np.random.default_rng(bits)
+    for share in (0.01, 0.5, 0.97, 1.0):
+        up = rng.random(bits)
+        chance = np.array([np.prod([p if code >> (bits - 1 - i) & 1 else 1 - p for i, p in enumerate(up)]) for code in range(1 << bits)])
+        got = ann.likeliest(up, share)
+        assert len(set(got.tolist())) == len(got)
+        assert np.allclose(chance[got], np.sort(chance)[::-1][: len(got)])
+        assert chance[got].sum() >= min(share, 1) - 1e-9 and (len(got) == 1 or chance[got[:-1]].sum() < share)
+
+
+def test_likeliest_with_certain_bits():
+    assert ann.likeliest(np.array([0.0, 1.0, 1.0]), 0.9).tolist() == [3]
+    assert 3 in ann.likeliest(np.array([0.0, 1.0, 1.0]), 1.0).tolist()
+
+
+@pytest.mark.parametrize("kind", ["unequal lengths", "clusters"])
+def test_recall_where_vectors_are_no_unit_vectors(spark, kind):
+    rng = np.random.default_rng(3)
+    if kind == "clusters":
+        v = rng.standard_normal((60, 24))[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 24))
+    else:
+        v = rng.standard_normal((3000, 24)) * rng.lognormal(0, 0.7, (3000, 1))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(spark, df, lambda c: c % 50 == 0).toPandas()
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = sum(len(set(g["vec_id"]) & set(np.argsort(-scores[q])[:20].tolist())) for q, g in got.groupby("query_id"))
+    assert len(got) == 60 * 20 and hits >= 0.9 * 60 * 20
