@@ -278,6 +278,24 @@ def host_of(url_col: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _large(counts: DataFrame) -> DataFrame:
+    """host, blocks: of (host, n) rows those hosts with more than an even share of a shuffle partition, which are at most
+    as many as there are partitions, and the number of blocks that their rows are dealt into."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = F.col("n") * parts / max(1, total)
+    return counts.where(share > 1).select("host", F.ceil(4 * share).cast("int").alias("blocks"))
+
+
+def _by_host(rows: DataFrame, key: str, hosts: DataFrame, large: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the row of their host. Rows of a large host are dealt into blocks by a key, and its one row is copied to
+    each block, so no task holds a whole host."""
+    large = F.broadcast(large)  # a row for each partition at most
+    dealt = rows.join(large, "host", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"), F.lit(0)))
+    copied = hosts.join(large, "host", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return dealt.drop("blocks").join(copied.drop("blocks"), ["host", "block"], how).drop("block")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, labels, parents, hashes, same: the reference outline of each host and the numbers of its template nodes."""
     from burrstone.session import cut
@@ -311,7 +329,8 @@ def templates(pages: DataFrame) -> DataFrame:
             yield {"host": [k[0] for k in seen], "node": [k[1] for k in seen], "same": [n if k[2] else 0 for k, n in seen.items()], "n": list(seen.values())}
 
     # The reference has no vote on itself.
-    others = trees.join(reference.drop("pages"), "host").where("key <> rk").drop("key", "rk")
+    large = cut(_large(trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))))
+    others = _by_host(trees, "key", reference.drop("pages"), large).where("key <> rk").drop("key", "rk")
     cast = common.arrow_map(others, votes, "host string, node int, same long, n long")
     summed = cast.groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).join(reference.select("host", "pages"), "host")
     most = (F.col("n") >= LEAST_PAGES - 1) & (2 * F.col("n") > F.col("pages") - 1)
@@ -348,7 +367,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     if size <= SENT_BYTES:
         sent = spark.sparkContext.broadcast({r["host"]: (list(r["labels"]), list(r["parents"]), list(r["hashes"]), list(r["same"])) for r in made.collect()})
         return common.arrow_map(pages, lambda batches: (result(b, [sent.value.get(h) for h in b["host"]]) for b in batches), schema)
-    joined = pages.join(made, "host", "left")
+    joined = _by_host(pages, "page_id", made, cut(_large(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")))), "left")
     return common.arrow_map(
         joined,
         lambda batches: (result(b, [None if x[0] is None else x for x in zip(b["labels"], b["parents"], b["hashes"], b["same"], strict=True)]) for b in batches),

@@ -182,3 +182,17 @@ def test_recall_where_vectors_are_no_unit_vectors(spark, kind):
     np.fill_diagonal(scores, -np.inf)
     hits = sum(len(set(g["vec_id"]) & set(np.argsort(-scores[q])[:20].tolist())) for q, g in got.groupby("query_id"))
     assert len(got) == 60 * 20 and hits >= 0.9 * 60 * 20
+
+
+def test_a_large_host_is_dealt_into_blocks(spark):
+    """A third of all rows are of one host; each row finds its host's row once, and no block has most of them."""
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('h', id) END AS host")
+    hosts = rows.where("host IS NOT NULL").groupBy("host").agg({"id": "max"}).withColumnRenamed("max(id)", "top").where("host <> 'h1'")
+    large = html._large(rows.groupBy("host").count().withColumnRenamed("count", "n"))
+    assert [r["host"] for r in large.where("host IS NOT NULL").collect()] == ["hot"]
+    got = html._by_host(rows, "id", hosts, large, "left").collect()
+    assert len(got) == 3000
+    assert all(r["top"] == {0: 2997, 1: r["id"], 2: None}[r["id"] % 3] for r in got if r["id"] != 1)
+    assert html._by_host(rows, "id", hosts, large).count() == 1999
+    none = rows.limit(0)
+    assert html._by_host(none, "id", hosts, html._large(none.groupBy("host").count().withColumnRenamed("count", "n")), "left").count() == 0
