@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burrstone.operators import hypercube
+from burrstone.operators import hypercube, metrics
 from burrstone.plans.edges import EDGES_CTE, edges
-from burrstone.registry import query
+from burrstone.registry import query, run_query
 
 TRIANGLES_SQL = (
     f"WITH {EDGES_CTE} SELECT a.src AS x, a.dst AS y, b.dst AS z FROM edges a JOIN edges b ON a.dst = b.src "
@@ -24,9 +24,13 @@ def named(e: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("src").alias(a), F.col("dst").alias(b))
 
 
-def triangles(e: DataFrame) -> DataFrame:
-    """Left-deep listing of x < y < z with edges x-y, y-z, z-x; both order tests run before the closing join."""
-    return named(e, "x", "y").where("x < y").join(named(e, "y", "z").where("y < z"), "y").join(named(e, "z", "x"), ["z", "x"]).select("x", "y", "z")
+def triangles(e: DataFrame, watch: metrics.Metrics | None = None) -> DataFrame:
+    """Left-deep listing of x < y < z with edges x-y, y-z, z-x; both order tests run before the closing join. Metrics
+    count the rows of each step while the plan runs."""
+    step = lambda df, name: watch.watch(df, **{name: (metrics.total, F.lit(1))}) if watch else df
+    xy, yz = step(named(e, "x", "y").where("x < y"), "chosen"), named(e, "y", "z").where("y < z")
+    paths = step(xy.join(yz, "y"), "paths")
+    return step(paths.join(named(e, "z", "x"), ["z", "x"]).select("x", "y", "z"), "triangles")
 
 
 def triangles_hypercube(e: DataFrame, sizes: list[int]) -> DataFrame:
@@ -69,6 +73,15 @@ def tri_leftdeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triangles(edges(spark, sf_dir))
 
 
+@query("tri_counters", f"""WITH {EDGES_CTE}, p AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src < a.dst AND b.src < b.dst)
+SELECT name, n FROM (SELECT 'chosen' AS name, count(*) AS n FROM edges WHERE src < dst UNION ALL SELECT 'paths', count(*) FROM p
+UNION ALL SELECT 'triangles', count(*) FROM p JOIN edges c ON c.src = p.z AND c.dst = p.x)""")
+def tri_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the intermediate results of the listing, gathered by one run of it."""
+    ran = run_query(lambda: edges(spark, sf_dir), triangles)
+    return spark.createDataFrame([(k, ran.counters[k] or 0) for k in ("chosen", "paths", "triangles")], "name string, n long")
+
+
 @query("tri_sql", TRIANGLES_SQL)
 def tri_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(

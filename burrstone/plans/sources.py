@@ -93,6 +93,13 @@ def matrix_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_matrix(spark, path)
 
 
+@query("root_list", f"WITH {EDGES_CTE} SELECT src AS id FROM edges GROUP BY src ORDER BY count(*) DESC, src LIMIT 64")
+def root_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "roots")
+    files.save_roots(edges(spark, sf_dir), path)
+    return files.load_roots(spark, path)
+
+
 @query("array_pieces", "SELECT c_custkey AS idx, c_nationkey::BIGINT AS value FROM customer")
 def array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.scratch(spark, "array")

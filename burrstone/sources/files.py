@@ -209,6 +209,16 @@ def save_edges(edges: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"unknown edge format {fmt}; known: {', '.join(FORMATS)}")
 
 
+def save_roots(edges: DataFrame, path: str, count: int = 64) -> None:
+    """The roots of a search benchmark beside its edges: the vertices of largest out-degree (the least ids of those), as
+    packed cells in no stated order."""
+    write_packed(edges.groupBy("src").count().orderBy(F.desc("count"), "src").limit(count).select("src"), path)
+
+
+def load_roots(spark: SparkSession, path: str) -> DataFrame:
+    return read_packed(spark, path, ["id"])
+
+
 def convert_edges(spark: SparkSession, source: str, source_fmt: str, target: str, target_fmt: str) -> None:
     save_edges(load_edges(spark, source, source_fmt), target, target_fmt)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burrstone.operators import components as cc
-from burrstone.operators import containers, graph, hypercube, mapreduce, ordering, reduce
+from burrstone.operators import containers, graph, hypercube, mapreduce, metrics, ordering, reduce
 from burrstone.plans import patterns
 
 SMALL = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 2), (4, 5), (5, 1)]
@@ -239,3 +239,21 @@ def test_reducer_streams_values_and_may_stop_early(spark):
     first = lambda k, vs: [(k, next(iter(vs)) % 2)]
     out = mapreduce.map_reduce(df, lambda r: [(r["k"], r["id"])], first, "k long, v long", "k long, parity long")
     assert sorted(map(tuple, out.collect())) == [(0, 0), (1, 1)]
+
+
+def test_metrics_of_parts_are_those_of_the_whole(spark):
+    asked = []
+    m = metrics.Metrics({"host": "a"}, {"calls": lambda: asked.append(1) or len(asked)})
+    kinds = {"s": (metrics.total, "v"), "top": (metrics.most, "v"), "all": (metrics.summary, "v"), "h": (metrics.histogram([2, 5]), "v")}
+    values = [1.0, 2.0, 4.0, 5.0, 9.0, None]
+    for part in (values[:2], values[2:], []):
+        m.watch(spark.createDataFrame([(v,) for v in part], "v double"), **kinds).collect()
+    got = m.read()
+    held = values[:5]
+    mean = sum(held) / 5
+    assert (got["s"], got["top"], got["host"], got["calls"]) == (21.0, 9.0, "a", 1)
+    assert got["h"] == {"bin0": 1, "bin1": 2, "bin2": 2}
+    assert got["all"] == pytest.approx({"count": 5, "mean": mean, "stddev": (sum((v - mean) ** 2 for v in held) / 4) ** 0.5, "min": 1.0, "max": 9.0})
+    assert '"top": 9.0' in m.to_json()
+    m.reset()
+    assert set(m.read()) == {"host", "calls"}
