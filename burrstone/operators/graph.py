@@ -217,22 +217,32 @@ def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
 
 
 def pagerank_delta(edges: DataFrame, tolerance: float = 1e-2, damping: float = 0.85, most: int = 1024) -> DataFrame:
-    """id, rank; a vertex sends the change of its rank while that is above the tolerance, as the delta-cached form does."""
+    """id, rank after at most so many rounds from ranks of 1, and one at least. In the first every vertex gathers; after
+    it a vertex sends the change of its rank while that is above the tolerance, as the delta-cached form does. At a
+    tolerance of 0 every change is sent, so the ranks are those of pagerank() after as many rounds.
+
+    A vertex without in-edges changes in the first round only: it sends once, and no later round holds it or its edges."""
     e = cut(edges.select("src", "dst"))
-    vertices = cut(degrees(e).select("id", "out_degree"))
-    state = cut(vertices.select("id", "out_degree", F.lit(1 - damping).alias("rank"), F.lit(1 - damping).alias("delta")))
-    for _ in range(most):
-        sent = state.where((F.abs("delta") > tolerance) & (F.col("out_degree") > 0)).select(
-            F.col("id").alias("src"), (F.lit(damping) * F.col("delta") / F.col("out_degree")).alias("d")
-        )
+    vertices = cut(degrees(e))
+    shares = vertices.where("out_degree > 0").select(F.col("id").alias("src"), (F.lit(1.0) / F.col("out_degree")).alias("share"))
+    got = shares.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+    ranked = vertices.join(got, "id", "left").withColumn("rank", F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0)))
+    first = cut(ranked.select("id", "out_degree", "in_degree", "rank", (F.col("rank") - 1.0).alias("delta")))
+    columns = ["id", "out_degree", "rank", "delta"]
+    senders, state = first.select(*columns), first.where("in_degree > 0").select(*columns)
+    sends = (F.abs("delta") > tolerance) & (F.col("out_degree") > 0)
+    for k in range(1, most):
+        sent = senders.where(sends).select(F.col("id").alias("src"), (F.lit(damping) * F.col("delta") / F.col("out_degree")).alias("d"))
         if sent.isEmpty():
             break
         got = sent.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("d").alias("got"))
-        kept = F.when((F.abs("delta") > tolerance) & (F.col("out_degree") > 0), F.lit(0.0)).otherwise(F.col("delta"))
-        state = cut(state.join(got, "id", "left").select(
+        kept = F.when(sends, F.lit(0.0)).otherwise(F.col("delta"))
+        senders = state = cut(state.join(got, "id", "left").select(
             "id", "out_degree", (F.col("rank") + F.coalesce("got", F.lit(0.0))).alias("rank"), (kept + F.coalesce("got", F.lit(0.0))).alias("delta")
         ))
-    return state.select("id", "rank")
+        if k == 1:
+            e = cut(e.join(state.select(F.col("id").alias("src")), "src", "left_semi"))
+    return first.where("in_degree = 0").select("id", "rank").unionByName(state.select("id", "rank"))
 
 
 def spmv(matrix: DataFrame, vector: DataFrame) -> DataFrame:

@@ -257,3 +257,23 @@ def test_metrics_of_parts_are_those_of_the_whole(spark):
     assert '"top": 9.0' in m.to_json()
     m.reset()
     assert set(m.read()) == {"host", "calls"}
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_every_delta_sent_gives_the_ranks_of_as_many_rounds(spark, rounds):
+    e = edges(spark, [(1, 2), (1, 3), (2, 3), (3, 1), (3, 4), (5, 1), (6, 5), (7, 7)])
+    delta, plain = (dict(tuples(r)) for r in (graph.pagerank_delta(e, 0.0, most=rounds), graph.pagerank(e, rounds)))
+    assert set(delta) == set(plain) == set(range(1, 8))
+    assert all(abs(delta[i] - plain[i]) < 1e-12 for i in plain)
+
+
+def test_delta_ranks_keep_their_sum_when_single_changes_are_small(spark):
+    """A ring that many vertices point at: each change of the ring is below a thousandth long before their sum is."""
+    n = 3000
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    r = graph.pagerank_delta(ring.union(spark.range(n, 2 * n).select(F.col("id").alias("src"), (F.col("id") - n).alias("dst"))), 0.0, most=40)
+    inner = outer = 1.0
+    for _ in range(40):
+        inner, outer = 0.15 + 0.85 * (inner + outer), 0.15
+    assert r.count() == 2 * n
+    assert abs(r.agg(F.sum("rank")).first()[0] - n * (inner + outer)) < 1e-6
