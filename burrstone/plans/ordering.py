@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from burrstone.operators import containers, ordering
+from burrstone.operators import containers, intersect, ordering
 from burrstone.operators.graph import symmetrize
-from burrstone.plans.edges import EDGES_CTE, edges
+from burrstone.plans.edges import EDGES_CTE, edges, lines
 from burrstone.registry import query
 from burrstone.session import table
 
@@ -114,16 +114,7 @@ def symmetrized(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.a, p.b, count(*) AS common, min(x.dst) AS chosen FROM p JOIN edges x ON x.src = p.a JOIN edges y ON y.src = p.b AND y.dst = x.dst GROUP BY p.a, p.b""")
 def set_intersect_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For pairs of vertices with common neighbours: how many, and the least of them as the deterministic pick."""
-    from burrstone.operators.graph import adjacency
-
-    e = edges(spark, sf_dir)
-    n = adjacency(e)
-    pairs = e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").select("a", "b").distinct()
-    both = F.array_intersect("na", "nb")
-    return (
-        pairs.join(n.select(F.col("id").alias("a"), F.col("neighbours").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("neighbours").alias("nb")), "b")
-        .select("a", "b", F.size(both).alias("common"), F.array_min(both).alias("chosen"))
-    )
+    return intersect.common_neighbours(lines(spark, sf_dir))
 
 
 @query("set_membership", f"WITH {EDGES_CTE} SELECT src, count(*) FILTER (dst = 7) AS has_seven, count(DISTINCT CASE WHEN dst = 7 THEN -1 ELSE dst END) + CASE WHEN count(*) FILTER (dst = 7) = 0 THEN 1 ELSE 0 END AS size_with_seven FROM edges GROUP BY src")

@@ -1,10 +1,13 @@
 """Operators on literal fixtures, with the cases that tables don't have."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from burrstone import registry
 from burrstone.operators import components as cc
-from burrstone.operators import containers, graph, hypercube, mapreduce, metrics, ordering, reduce
+from burrstone.operators import containers, graph, hypercube, intersect, mapreduce, metrics, ordering, reduce
 from burrstone.plans import patterns
 
 SMALL = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 2), (4, 5), (5, 1)]
@@ -277,3 +280,54 @@ def test_delta_ranks_keep_their_sum_when_single_changes_are_small(spark):
         inner, outer = 0.15 + 0.85 * (inner + outer), 0.15
     assert r.count() == 2 * n
     assert abs(r.agg(F.sum("rank")).first()[0] - n * (inner + outer)) < 1e-6
+
+
+def reference_common(rows):
+    found = {}
+    for a, x in set(rows):
+        for b, y in set(rows):
+            if x == y and a < b:
+                found.setdefault((a, b), []).append(x)
+    return sorted((a, b, len(v), min(v)) for (a, b), v in found.items())
+
+
+#: Seven sources and neighbours that share most of one another, one list longer than the rest, and ids of all 64 bits.
+DENSE = [(s, d) for s in range(7) for d in range(9) if (s * 5 + d * 3) % 7 < 4] + [(s, 100) for s in range(60)]
+WIDE = [(-(2**63), 1), (2**63 - 1, 1), (0, 1), (2**62, -5), (0, -5), (-(2**63), -5)]
+
+
+@pytest.mark.parametrize("rows", [SMALL, HUB, [], [(1, 1)], DENSE + DENSE[:20], WIDE], ids=["small", "hub", "empty", "loop", "dense", "wide"])
+@pytest.mark.parametrize("pairs", [1, 64, 1 << 20])
+def test_common_neighbours(spark, rows, pairs, monkeypatch):
+    monkeypatch.setattr(intersect, "PAIRS", pairs)
+    assert tuples(intersect.common_neighbours(edges(spark, rows))) == reference_common(rows)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 1 << 18])
+def test_lists_cut_and_pairs_folded_at_any_size(limit, monkeypatch):
+    """The two steps outside Spark, with so little held at once that lists span batches and pairs are folded often."""
+    monkeypatch.setattr(intersect, "EDGES", limit)
+    monkeypatch.setattr(intersect, "HELD", limit)
+    monkeypatch.setattr(intersect, "ROWS", 3)
+    for rows in (DENSE + DENSE[:20], WIDE):
+        dst, src = zip(*sorted((d, s) for s, d in rows))
+        batches = [pa.RecordBatch.from_pydict({"src": src[k:k + 4], "dst": dst[k:k + 4]}) for k in range(0, len(src), 4)]
+        pieces = [piece for b in intersect.cut_lists(iter(batches), 3) for piece in b.to_pylist()]
+        found = [b for k in range(3) for b in intersect.shared((p for p in pieces if p["block"] == k), k, 3)]
+        assert sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == reference_common(rows)
+
+
+@pytest.mark.parametrize("ids", [[0], [5, 5, 5], [-(2**63), 2**63 - 1, 0, -1], list(range(0, 10**6, 997))])
+def test_packed_ids_come_back(ids):
+    assert intersect.unpack(intersect.pack(np.array(ids, np.int64))).tolist() == ids
+
+
+def test_pairs_of_sources_are_never_shuffled(spark, sf_dir):
+    """The query joins nothing, and what it sends of lists is a few bytes for each pair, where a row takes 24 at least."""
+    plan = registry.queries()["set_intersect_choose"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    rng = np.random.default_rng(7)
+    src = np.concatenate([np.sort(rng.choice(150_000, 30, replace=False)) for _ in range(4000)])
+    edges = pa.RecordBatch.from_pydict({"src": src, "dst": np.repeat(np.arange(4000), 30)})
+    sent = sum(b.nbytes for b in intersect.cut_lists(iter([edges]), 16))
+    assert sent < 3 * 4000 * 30 * 29 / 2
