@@ -221,28 +221,30 @@ def pagerank_delta(edges: DataFrame, tolerance: float = 1e-2, damping: float = 0
     it a vertex sends the change of its rank while that is above the tolerance, as the delta-cached form does. At a
     tolerance of 0 every change is sent, so the ranks are those of pagerank() after as many rounds.
 
-    A vertex without in-edges changes in the first round only: it sends once, and no later round holds it or its edges."""
-    e = cut(edges.select("src", "dst"))
-    vertices = cut(degrees(e))
-    shares = vertices.where("out_degree > 0").select(F.col("id").alias("src"), (F.lit(1.0) / F.col("out_degree")).alias("share"))
-    got = shares.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-    ranked = vertices.join(got, "id", "left").withColumn("rank", F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0)))
-    first = cut(ranked.select("id", "out_degree", "in_degree", "rank", (F.col("rank") - 1.0).alias("delta")))
-    columns = ["id", "out_degree", "rank", "delta"]
-    senders, state = first.select(*columns), first.where("in_degree > 0").select(*columns)
-    sends = (F.abs("delta") > tolerance) & (F.col("out_degree") > 0)
-    for k in range(1, most):
-        sent = senders.where(sends).select(F.col("id").alias("src"), (F.lit(damping) * F.col("delta") / F.col("out_degree")).alias("d"))
-        if sent.isEmpty():
+    A vertex without in-edges falls to 1 - damping in the first round and never changes again. What it sends in the first
+    two rounds is summed once for each target; only edges of other vertices are written and met in every round."""
+    vertices = cut(degrees(edges))
+    given = edges.join(vertices.select(F.col("id").alias("src"), "out_degree", "in_degree"), "src")
+    e = cut(given.where("in_degree > 0").select("src", "dst"))
+    once = given.where("in_degree = 0").groupBy(F.col("dst").alias("id")).agg(F.sum(F.lit(1.0) / F.col("out_degree")).alias("once"))
+    state = cut(vertices.where("in_degree > 0").join(once, "id", "left").select(
+        "id", "out_degree", F.coalesce("once", F.lit(0.0)).alias("once"), F.lit(1 - damping).alias("rank"), F.lit(1.0).alias("delta")
+    ))
+    for k in range(max(1, most)):
+        # The first round sends ranks of 1, which leaves their change to what is gathered; the second that of 1 - damping to 1.
+        sends = (F.col("out_degree") > 0) & ((F.abs("delta") > tolerance) | F.lit(k == 0))
+        from_once = damping if k == 0 else -damping * damping if k == 1 and damping > tolerance else 0.0
+        sent = state.where(sends).select(F.col("id").alias("src"), (F.lit(damping) * F.col("delta") / F.col("out_degree")).alias("d"))
+        if k > 1 and sent.isEmpty():
             break
         got = sent.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("d").alias("got"))
-        kept = F.when(sends, F.lit(0.0)).otherwise(F.col("delta"))
-        senders = state = cut(state.join(got, "id", "left").select(
-            "id", "out_degree", (F.col("rank") + F.coalesce("got", F.lit(0.0))).alias("rank"), (kept + F.coalesce("got", F.lit(0.0))).alias("delta")
+        more = F.coalesce("got", F.lit(0.0)) + F.lit(from_once) * F.col("once")
+        kept = F.when(sends, F.lit(0.0)).otherwise(F.col("delta")) if k else F.lit(-damping)
+        state = cut(state.join(got, "id", "left").select(
+            "id", "out_degree", "once", (F.col("rank") + more).alias("rank"), (kept + more).alias("delta")
         ))
-        if k == 1:
-            e = cut(e.join(state.select(F.col("id").alias("src")), "src", "left_semi"))
-    return first.where("in_degree = 0").select("id", "rank").unionByName(state.select("id", "rank"))
+    still = vertices.where("in_degree = 0").select("id", F.lit(1 - damping).alias("rank"))
+    return still.unionByName(state.select("id", "rank"))
 
 
 def spmv(matrix: DataFrame, vector: DataFrame) -> DataFrame:

@@ -270,6 +270,13 @@ def test_every_delta_sent_gives_the_ranks_of_as_many_rounds(spark, rounds):
     assert all(abs(delta[i] - plain[i]) < 1e-12 for i in plain)
 
 
+@pytest.mark.parametrize("rows", [[], [(1, 2)], [(1, 2), (2, 1)], [(3, 3)]])
+def test_delta_ranks_of_graphs_without_still_or_moving_vertices(spark, rows):
+    e = edges(spark, rows)
+    delta, plain = (dict(tuples(r)) for r in (graph.pagerank_delta(e, 0.0, most=3), graph.pagerank(e, 3)))
+    assert set(delta) == set(plain) and all(abs(delta[i] - plain[i]) < 1e-12 for i in plain)
+
+
 def test_delta_ranks_keep_their_sum_when_single_changes_are_small(spark):
     """A ring that many vertices point at: each change of the ring is below a thousandth long before their sum is."""
     n = 3000
